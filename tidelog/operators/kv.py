@@ -61,15 +61,13 @@ def multi_get(log: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def get_with_stats(log: DataFrame, ns: bytes, key: bytes) -> DataFrame:
-    """One row: value, segments holding a version, bytes of key and value, items examined."""
-    mine = namespace(log, ns).where(F.col("key") == lit_bytes(key))
-    segments = mine.agg(F.count_distinct("seg_id").alias("segments_scanned"))
-    found = live(mine).agg(
-        F.max("value").alias("value"),
-        F.coalesce(F.sum(encoded_length(F.col("ns"), F.col("key")) + F.coalesce(F.octet_length("value"), F.lit(0))), F.lit(0)).alias("bytes_read"),
-        F.count("*").alias("items_examined"),
-    )
-    return segments.join(F.broadcast(found))  # one row each
+    """One row: value, segments holding a version, bytes of key and value, items examined (zeros on a miss)."""
+    mine = namespace(log, ns).where((F.col("key") == lit_bytes(key)) & F.col("lsn").isNotNull())
+    last = F.max(F.struct("lsn", "op", "value"))
+    found = mine.agg(F.count_distinct("seg_id").alias("segments_scanned"), last.alias("_last"))
+    hit = F.coalesce(F.col("_last.op") != DELETE, F.lit(False))
+    size = 2 + len(ns) + len(key) + F.coalesce(F.octet_length("_last.value"), F.lit(0))
+    return found.select("segments_scanned", F.when(hit, F.col("_last.value")).alias("value"), F.when(hit, size).otherwise(0).cast("bigint").alias("bytes_read"), hit.cast("bigint").alias("items_examined"))
 
 
 def scan(log: DataFrame, ns: bytes, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
@@ -85,21 +83,17 @@ def prefix_scan(log: DataFrame, ns: bytes, prefix: bytes) -> DataFrame:
     return live(namespace(log, ns).where(has_prefix(F.col("key"), prefix))).orderBy("key")
 
 
-def _examined(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.count("*").alias("items_examined"),
-        F.coalesce(F.sum(encoded_length(F.col("ns"), F.col("key")) + F.coalesce(F.octet_length("value"), F.lit(0))), F.lit(0)).alias("bytes_read"),
-    )
-
-
 def range_stats(log: DataFrame, ns: bytes, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
     """What a range read costs: flushed rows after version choice, unflushed ones with their deletes."""
     rows = namespace(log, ns).where(in_range(F.col("key"), start, end))
-    flushed = live(rows.where("seg_id is not null"))
-    fresh = newest(rows.where("seg_id is null"))
-    out = live(rows).agg(F.count("*").alias("rows_returned"))
-    cost = _examined(flushed.unionByName(fresh))
-    return cost.join(F.broadcast(out))  # one row each
+    flushed = live(rows.where("seg_id is not null")).withColumn("_kind", F.lit("cost"))
+    fresh = newest(rows.where("seg_id is null")).withColumn("_kind", F.lit("cost"))
+    out = live(rows).withColumn("_kind", F.lit("row"))
+    cost = F.col("_kind") == "cost"
+    size = encoded_length(F.col("ns"), F.col("key")) + F.coalesce(F.octet_length("value"), F.lit(0))
+    return flushed.unionByName(fresh).unionByName(out).agg(
+        F.count_if(cost).alias("items_examined"), F.coalesce(F.sum(F.when(cost, size)), F.lit(0)).cast("bigint").alias("bytes_read"), F.count_if(~cost).alias("rows_returned")
+    )
 
 
 def budget_items(rows: DataFrame, max_items: int) -> DataFrame:
