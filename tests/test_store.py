@@ -107,3 +107,44 @@ def test_command_line(spark, tmp_path):
     assert cli.run([str(tmp_path / "other"), "import", str(tmp_path / "e")], spark, said.append) == 0 and said[-1] == 2
     call("delete", "k")
     assert call("get", "k") == 1
+
+
+def test_tiers_of_a_store(spark, tmp_path):
+    from tidelog.operators.tiers import TieredStore
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.write([(b"n", b"a", b"1", 1, 0), (b"n", b"b", b"2", 1, 0)])
+    store.flush()
+    store.write([(b"n", b"y", b"3", 1, 0), (b"n", b"z", b"4", 1, 0)])
+    store.flush()
+    tiered = TieredStore(store, str(tmp_path / "cold"))
+    assert tiered.archive_segments([1, 2, 7]) == 2 and store.get(b"n", b"a") is None
+    assert tiered.overlapping(b"n", b"a", b"c") == [1] and tiered.overlapping(b"m") == []
+    assert tiered.get(b"n", b"a") == b"1"
+    store.delete(b"n", b"a")
+    assert tiered.get(b"n", b"a") is None
+    assert tuples(tiered.range(b"n"), "key") == [(b"b",), (b"y",), (b"z",)]
+    assert tiered.fetch([2]) == 1 and store.get(b"n", b"z") == b"4"
+
+
+def test_records_of_vectors_and_texts(spark, tmp_path):
+    import numpy as np
+
+    from tidelog.operators import vectors
+    from tidelog.sources import records
+
+    store = Store(spark, str(tmp_path / "s"))
+    records.put_vector(store, b"n", b"k", np.array([1, 2], "<f2").tobytes(), 2, "F16")
+    with pytest.raises(ValueError):
+        records.put_vector(store, b"n", b"k", b"123", 2, "F16")
+    store.put(records.vector_namespace(b"n"), b"bad", b"x")
+    assert records.get_vector(store, b"n", b"k")[2].tolist() == [1, 2]
+    found = records.vectors(store.log(), b"n")
+    assert [tuple(r) for r in vectors.top_k(found, [1.0, 2.0], 3, "l2", "key", "embedding", "F16").collect()] == [(bytearray(b"k"), 0.0)]
+    records.delete_vector(store, b"n", b"k")
+    assert records.vectors(store.log(), b"n").count() == 0
+    records.put_text(store, b"n", b"t", "olá", {"a": "x", "b": 3, "c": True})
+    row = records.texts(store.log(), b"n").first()
+    assert (row["text"], row["strings"], row["numbers"], row["flags"]) == ("olá", {"a": "x"}, {"b": 3}, {"c": True})
+    with pytest.raises(ValueError):
+        records.put_text(store, b"n", b"__index__", "x")

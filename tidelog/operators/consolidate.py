@@ -81,7 +81,7 @@ def key_coordinate(key: Column, borders: list[bytes]) -> Column:
 
 @dataclass
 class Consolidation:
-    """``sources``: consolidated segment ids with the records each held; ``files``: the new segments; ``path``: where they are."""
+    """``sources``: consolidated segment ids with the copies of records each held; ``files``: the new segments; ``path``: where they are."""
 
     sources: DataFrame
     files: DataFrame | None
@@ -110,12 +110,10 @@ def consolidate(entries: DataFrame, wal: DataFrame, small_bytes: int = SMALL_BYT
     small = small_segments(entries, small_bytes).select("segment_id")
     held = wal.where("segment_id is not null").join(small, "segment_id", "left_semi")
     staged_path, out = scratch(spark, "small"), out or scratch(spark, "segments")
-    # one row a record; the copies' segments stay countable without their content
-    once = held.groupBy(*CONTENT).agg(F.collect_set("segment_id").alias("_from"))
-    once.write.option("compression", "zstd").parquet(staged_path)
+    held.select(*CONTENT).distinct().write.option("compression", "zstd").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
     wanted = digest(staged)
-    per_source = staged.select(F.explode("_from").alias("segment_id")).groupBy("segment_id").agg(F.count("*").alias("records"))
+    per_source = held.groupBy("segment_id").agg(F.count("*").alias("records"))
     if not wanted[0]:
         return Consolidation(small.join(per_source, "segment_id", "left"), None, None, 0, 0)
 

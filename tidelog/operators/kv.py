@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.bytesx import DELETE, encoded_length, has_prefix, in_range, key_after, lit_bytes
+from tidelog.session import materialise
 
 LOG = ("ns", "key", "value", "op", "lsn", "ts_ns", "ttl_s", "txid", "seg_id")
 
@@ -114,9 +115,12 @@ def running_total(rows: DataFrame, order: list[str], amount: Column, name: str,
     """A running sum over a total order without one task for all rows.
 
     Rows are cut into ranges of the order; each range is summed and only these
-    sums (one per range) are accumulated, then each range runs on its own.
+    sums (one per range) are accumulated, then each range runs on its own.  The
+    ranges are written once: range borders come from a sample, so computing them
+    again, in another branch or after a lost executor, could move rows.
     """
-    parts = rows.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()).withColumn("_amount", amount)
+    cut = rows.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()).withColumn("_amount", amount)
+    parts = materialise(cut, "ranges")
     totals = parts.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
     before = totals.withColumn(
         "_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
