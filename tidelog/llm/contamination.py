@@ -28,39 +28,73 @@ from pyspark.sql import functions as F
 PIECE = 5
 #: Items sent to the tasks at a time, and most characters of a block.
 BLOCK_ITEMS, BLOCK_CHARS = 10_000, 16_000_000
+#: Characters handled together.
+PORTION = 200_000
 
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _LINK = re.compile(r"\]\([^()\s]*\)")
-_BREAK = re.compile(r"(?<=[^\W_])[-\u2010\u2011][ \t]*(?:\r\n?|\n)[ \t]*(?=[^\W_])")
+_BREAK = re.compile(r"-(?<=[^\W_]-)[ \t]*(?:\r\n?|\n)[ \t]*(?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"(?<=\w)[*`~]+(?=\w)")
 #: Letters that no normal form takes apart. Fixed values.
-_LETTERS = str.maketrans({"æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ı": "i", "ŧ": "t"})
-_ODD = re.compile(r"[^\x00-\x7f]")
+_LETTERS = {"æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ı": "i", "ŧ": "t", "\u2010": "-", "\u2011": "-"}
+#: An odd number of 64 bits. Fixed value.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[str]:
-    """Comparable words: no case, accents, widths, ligatures, tags, invisible characters or line-end hyphens."""
+def fold(text: str | None) -> str:
+    """Text of which the comparable words are the runs of letters and digits."""
     if not text:
-        return []
-    if _ODD.search(text):
-        text = unicodedata.normalize("NFKD", text)
-        if _ODD.search(text):
-            odd = {c for c in set(text) if ord(c) > 127 and unicodedata.category(c) in ("Cf", "Mn", "Me", "Cc") and c != "\x85"}
-            if odd:
-                text = text.translate({ord(c): None for c in odd})
-        text = text.casefold().translate(_LETTERS)
-    else:
-        text = text.lower()
+        return ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).casefold()
+        if not text.isascii():
+            for c in set(text):
+                if c > "\x7f":
+                    if c in _LETTERS:
+                        text = text.replace(c, _LETTERS[c])
+                    elif unicodedata.category(c) in ("Cf", "Mn", "Me", "Cc") and c != "\x85":
+                        text = text.replace(c, "")
     if "<" in text:
         text = _TAG.sub("", text)
     if "](" in text:
         text = _LINK.sub("", text)
-    if "-" in text or "\u2010" in text or "\u2011" in text:
+    if "-" in text:
         text = _BREAK.sub("", text)
     if "*" in text or "`" in text or "~" in text:
         text = _MARKS.sub("", text)
-    return _WORD.findall(text)
+    return text.lower()
+
+
+def words(text: str | None) -> list[str]:
+    """Comparable words: no case, accents, widths, ligatures, tags, invisible characters or line-end hyphens."""
+    return _WORD.findall(fold(text))
+
+
+_IN_WORD: list[np.ndarray] = []
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all words of folded texts together: 64-bit hashes, and the number of the text each is in.
+
+    Characters are handled as arrays: a word's hash is the sum of its characters
+    times powers of a fixed odd number.
+    """
+    if not _IN_WORD:
+        _IN_WORD.append(np.array([chr(c).isalnum() for c in range(0x110000)]))
+    joined = "\x00".join(texts)
+    codes = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _IN_WORD[0][codes]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, length = edge[::2], np.diff(edge)[::2]
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), length)
+    powers = np.cumprod(np.full(int(length.max()), _BASE, np.uint64))
+    value = (codes[inside].astype(np.uint64) + np.uint64(1)) * powers[place]
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return np.add.reduceat(value, first), np.searchsorted(bounds, start, side="right")
 
 
 def myers_distance(pattern: list[int], text: list[int]) -> int:
@@ -96,50 +130,50 @@ def myers_distance(pattern: list[int], text: list[int]) -> int:
 
 
 class PieceIndex:
-    """Pieces of a block of items by hash, with what verification needs."""
+    """Pieces of a block of items by hash, with what verification needs.  Words are numbers; 0 is a word no item has."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.vocabulary: dict[str, int] = {}
+    def __init__(self, items: list[tuple[int, str]]):
+        hashed, number = hashed_words([t for _, t in items])
+        self.vocabulary = np.unique(hashed)
+        ids = self.numbers(hashed)
+        bounds = np.searchsorted(number, np.arange(len(items) + 1))
+        self.powers = np.random.default_rng(20_240_601).integers(1, 2**63, PIECE, dtype=np.uint64) | np.uint64(1)
         self.items: list[tuple[int, np.ndarray]] = []
-        rng = np.random.default_rng(20_240_601)
-        self.powers = rng.integers(1, 2**63, PIECE, dtype=np.uint64) | np.uint64(1)
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for item_id, item in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in item], dtype=np.int64)
-            if not len(ids):
+        self.found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for (item_id, _), begin, end in zip(items, bounds, bounds[1:]):
+            item = ids[begin:end]
+            if not len(item):
                 continue
-            number, width = len(self.items), min(PIECE, len(ids))
-            self.items.append((item_id, ids))
-            for at in range(0, len(ids) - width + 1, width):
-                found.setdefault((width, int(self.hashes(ids[at : at + width], width)[0])), []).append((number, at))
-        self.widths = sorted({w for w, _ in found})
-        self.keys = {w: np.array(sorted(h for v, h in found if v == w), dtype=np.uint64) for w in self.widths}
-        self.found = found
+            n, width = len(self.items), min(PIECE, len(item))
+            self.items.append((item_id, item))
+            for at in range(0, len(item) - width + 1, width):
+                self.found.setdefault((width, int(self.hashes(item[at : at + width], width)[0])), []).append((n, at))
+        self.keys = {w: np.array(sorted(h for v, h in self.found if v == w), dtype=np.uint64) for w in {w for w, _ in self.found}}
+
+    def numbers(self, hashed: np.ndarray) -> np.ndarray:
+        if not len(self.vocabulary):
+            return np.zeros(len(hashed), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashed), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashed, at + 1, 0)
 
     def hashes(self, ids: np.ndarray, width: int) -> np.ndarray:
-        n = len(ids) - width + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
+        n = max(0, len(ids) - width + 1)
         out = np.zeros(n, dtype=np.uint64)
         for j in range(width):
             out += ids[j : j + n].astype(np.uint64) * self.powers[j]
         return out
 
-    def hits(self, ids: np.ndarray):
-        """(position, item number, offset) of every whole piece; words no item has are 0."""
-        for width in self.widths:
+    def hits(self, ids: np.ndarray, number: np.ndarray):
+        """(position, item number, offset) of every whole piece within one text."""
+        for width, keys in sorted(self.keys.items()):
             hashed = self.hashes(ids, width)
             if not len(hashed):
                 continue
-            keys = self.keys[width]
-            at = np.searchsorted(keys, hashed)
-            at[at == len(keys)] = 0
-            unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-            whole = unknown[width:][: len(hashed)] == unknown[: len(hashed)]
-            for p in np.flatnonzero((keys[at] == hashed) & whole):
-                for number, offset in self.found[width, int(hashed[p])]:
-                    if np.array_equal(ids[p : p + width], self.items[number][1][offset : offset + width]):
-                        yield int(p), number, offset
+            at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+            for p in np.flatnonzero((keys[at] == hashed) & (number[: len(hashed)] == number[width - 1 :])):
+                for n, offset in self.found[width, int(hashed[p])]:
+                    if np.array_equal(ids[p : p + width], self.items[n][1][offset : offset + width]):
+                        yield int(p), n, offset
 
 
 def longest_run(item: np.ndarray, text: np.ndarray, diagonal: int) -> int:
@@ -147,40 +181,77 @@ def longest_run(item: np.ndarray, text: np.ndarray, diagonal: int) -> int:
     lo, hi = max(0, -diagonal), min(len(item), len(text) - diagonal)
     if hi <= lo:
         return 0
-    differ = np.flatnonzero(item[lo:hi] != text[diagonal + lo : diagonal + hi])
-    edges = np.concatenate([[-1], differ, [hi - lo]])
-    return int(np.diff(edges).max()) - 1
+    best = last = 0
+    for at in np.flatnonzero(item[lo:hi] != text[diagonal + lo : diagonal + hi]).tolist():
+        best, last = max(best, at - last), at + 1
+    return max(best, hi - lo - last)
 
 
-def _search(index: PieceIndex, least_run: int):
-    lookup = index.vocabulary
+def _portions(ids: list[int], texts):
+    """Folded texts in portions that fit a processor's cache, plain ones (one byte a character) apart from others."""
+    held: dict[bool, tuple[list[int], list[str]]] = {True: ([], []), False: ([], [])}
+    size = {True: 0, False: 0}
+    for doc_id, text in zip(ids, texts):
+        text = fold(text)
+        plain = text.isascii()
+        held[plain][0].append(doc_id)
+        held[plain][1].append(text)
+        size[plain] += len(text)
+        if size[plain] > PORTION:
+            yield held[plain]
+            held[plain], size[plain] = ([], []), 0
+    for part in held.values():
+        if part[0]:
+            yield part
 
+
+def _search(index: PieceIndex, least_run: int):
     def run(batches):
         for pdf in batches:
-            out = []
-            known = [[lookup.get(w, 0) for w in words(t)] + [0] * PIECE for t in pdf["text"]]
-            ends = np.cumsum([len(k) for k in known])
-            flat = np.fromiter((i for k in known for i in k), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0)
-            by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for p, number, offset in index.hits(flat):
-                by.setdefault((int(np.searchsorted(ends, p, side="right")), number), []).append((p, offset))
-            for (d, number), places in by.items():
-                begin, end = (int(ends[d - 1]) if d else 0), int(ends[d])
-                text, (item_id, item) = flat[begin:end], index.items[number]
-                m = len(item)
-                budget = max(1, m // PIECE) - 1
-                diagonals = {p - begin - offset for p, offset in places}
-                run_ = max(longest_run(item, text, g) for g in diagonals)
-                distance, covered = m, -1
-                for g in sorted(diagonals):  # texts around the hits, each stretch once
-                    lo, hi = max(0, g - budget), min(len(text), g + m + budget)
-                    if lo >= covered or covered < 0 or hi > covered:
-                        distance = min(distance, myers_distance(item.tolist(), text[lo:hi].tolist()))
-                        covered = hi
-                if run_ >= least_run or distance <= budget:
-                    out.append((pdf["doc_id"].iat[d], item_id, len(places), run_, distance, m, distance <= budget))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "pieces", "longest_run", "distance", "item_words", "whole"])
+            for ids, texts in _portions(pdf["doc_id"].tolist(), pdf["text"]):
+                out = search(ids, texts)
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "pieces", "longest_run", "distance", "item_words", "whole"])
+
+    seen = np.zeros(len(index.vocabulary) + 1, dtype=bool)
+
+    def absent(item, stretch):
+        seen[stretch] = True
+        n = len(item) - int(np.count_nonzero(seen[item]))
+        seen[stretch] = False
+        return n
+
+    def search(ids, texts):
+        out = []
+        hashed, number = hashed_words(texts)
+        flat = index.numbers(hashed)
+        bounds = np.searchsorted(number, np.arange(len(ids) + 1))
+        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for p, n, offset in index.hits(flat, number):
+            by.setdefault((int(number[p]), n), []).append((p, offset))
+        for (d, n), places in by.items():
+            begin, end = int(bounds[d]), int(bounds[d + 1])
+            text, (item_id, item) = flat[begin:end], index.items[n]
+            m = len(item)
+            budget = max(1, m // PIECE) - 1
+            diagonals = {p - begin - offset for p, offset in places}
+            run_ = max(longest_run(item, text, g) for g in diagonals)
+            distance, stretches = m, []
+            for g in sorted(diagonals):  # texts around the hits; what overlaps is one stretch
+                lo, hi = max(0, g - budget), min(len(text), g + m + budget)
+                if stretches and lo <= stretches[-1][1]:
+                    stretches[-1][1] = max(hi, stretches[-1][1])
+                else:
+                    stretches.append([lo, hi])
+            # an item word that is nowhere in the stretch costs an edit: most chance hits end here
+            if run_ < least_run and all(absent(item, text[lo:hi]) > budget for lo, hi in stretches):
+                continue
+            pattern = item.tolist()
+            for lo, hi in stretches:
+                distance = min(distance, myers_distance(pattern, text[lo:hi].tolist()))
+            if run_ >= least_run or distance <= budget:
+                out.append((ids[d], item_id, len(places), run_, distance, m, distance <= budget))
+        return out
 
     return run
 
@@ -189,7 +260,7 @@ def _blocks(items: DataFrame):
     """The items in blocks of bounded count and size."""
     block, chars = [], 0
     for row in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        block.append((row[0], words(row[1])))
+        block.append((row[0], fold(row[1])))
         chars += len(row[1])
         if len(block) >= BLOCK_ITEMS or chars >= BLOCK_CHARS:
             yield block
