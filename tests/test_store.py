@@ -148,3 +148,30 @@ def test_records_of_vectors_and_texts(spark, tmp_path):
     assert (row["text"], row["strings"], row["numbers"], row["flags"]) == ("olá", {"a": "x"}, {"b": 3}, {"c": True})
     with pytest.raises(ValueError):
         records.put_text(store, b"n", b"__index__", "x")
+
+
+def test_stateful_stream_emits_newer_versions(tmp_path, spark):
+    df = log(spark, [(b"n", b"k%d" % (i % 3), b"%d" % i, 1, (i * 7) % 31, None) for i in range(31)])
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = ingest.stateful_current(ingest.stream_log(spark, str(tmp_path / "in"), df.schema))
+        query = stream.writeStream.format("memory").queryName("newest").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert tuples(spark.table("newest"), "key", "lsn") == tuples(kv.newest(df), "key", "lsn")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+
+
+def test_sync_pulls_only_what_is_missing(spark):
+    from pyspark.sql import functions as F
+
+    ours = log(spark, [(b"n", b"a", b"mine", 1, 9, 1)])
+    theirs = log(spark, [(b"n", b"a", b"theirs", 1, 5, 2), (b"n", b"b", b"new", 1, 6, 2), (b"n", b"c", b"known", 1, 7, 1)])
+    mine = spark.createDataFrame([(1, "aa")], "segment_id bigint, segment_hash string")
+    peer = spark.createDataFrame([(1, "AA"), (2, "bb")], "segment_id bigint, segment_hash string")
+    merged, missing = ingest.sync_once(ours, theirs, mine, peer)
+    assert tuples(missing, "segment_id") == [(2,)]
+    assert tuples(merged, "key", "value") == [(b"a", b"mine"), (b"b", b"new")]
+    assert ingest.sync_once(ours, theirs, mine, mine.withColumn("segment_hash", F.upper("segment_hash")))[0] is None

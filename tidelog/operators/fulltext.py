@@ -152,15 +152,19 @@ def facet_filter(facets: dict, columns: dict[str, str]) -> Column:
 
 
 def scores(documents: DataFrame, query: str, lang: str | None = None, facets: dict | None = None, typo: bool = False, index: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
-    """``doc_id``, ``score`` of every match.
+    """``doc_id``, ``score`` of every match; df and N are taken before facets.
 
-    Only postings of the query's terms are read; df and N are taken before facets.
-    ``index`` and ``stats`` reuse postings written earlier.
+    A plain query needs no index and no shuffle: one aggregate gives N, lengths and
+    the few document frequencies, then every document is scored where it is read.
+    Stems and typos go by postings; ``index`` and ``stats`` reuse some written
+    earlier, of which only those of the query's terms are read.
     """
     spark = documents.sparkSession
     terms = query_terms(spark, query, lang)
     if not terms:
         return spark.createDataFrame([], "doc_id bigint, score double")
+    if not lang and not typo and index is None:
+        return _scan_scores(documents, terms, facets)
     index = postings(documents, lang) if index is None else index
     n, avg_len = stats or documents_stats(documents, lang)
     weights = _weights(index, terms, typo)
@@ -174,6 +178,19 @@ def scores(documents: DataFrame, query: str, lang: str | None = None, facets: di
     return hits.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
+def _scan_scores(documents: DataFrame, terms: list[str], facets: dict | None) -> DataFrame:
+    distinct = list(dict.fromkeys(terms))
+    read = documents.withColumn("_t", token_array(F.col("text")))
+    row = read.agg(F.count("*"), F.coalesce(F.sum(F.size("_t")), F.lit(0)), *[F.count_if(F.array_contains("_t", t)) for t in distinct]).first()
+    n, avg_len, df = row[0], (row[1] / row[0] if row[0] else 0.0), dict(zip(distinct, row[2:]))
+    if facets:
+        read = read.where(facet_filter(facets, dict(documents.dtypes)))
+    counted = read.select("doc_id", F.size("_t").alias("_len"), *[F.size(F.filter("_t", lambda x, t=t: x == t)).alias(f"_tf{i}") for i, t in enumerate(distinct)])
+    parts = [F.lit(float(terms.count(t))) * bm25(F.col(f"_tf{i}"), F.col("_len"), F.lit(df[t]), n, avg_len) for i, t in enumerate(distinct)]
+    hit = reduce(lambda a, b: a | b, (F.col(f"_tf{i}") > 0 for i in range(len(distinct))))
+    return counted.where(hit).select("doc_id", reduce(lambda a, b: a + b, parts).alias("score"))
+
+
 def documents_stats(documents: DataFrame, lang: str | None = None) -> tuple[int, float]:
     row = corpus_stats(documents, lang).first()
     return int(row["n_docs"]), float(row["avg_len"])

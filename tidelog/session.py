@@ -48,9 +48,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Paths this process has made below the shared folder.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; ``clear_scratch`` removes it with the rest."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate files; call it when the results that were read from them are stored."""
+    while _MADE:
+        drop_path(spark, _MADE.pop())
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
