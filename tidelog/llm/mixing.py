@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.session import materialise
@@ -186,9 +186,8 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | Non
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.sum("copies").alias("uses"), F.max("copies").alias("most_uses")
     )
     wanted = spark.createDataFrame([(r["source_name"], float(r["share"]), float(r["effective"]), int(r["most"])) for r in rows], "source_name string, target_share double, effective_share double, max_repeats int")
-    joined = wanted.join(reached, "source_name", "left")
-    total = reached.agg(F.sum("tokens").alias("all_tokens"))
-    return joined.join(F.broadcast(total)).select(  # one row
+    joined = wanted.join(reached, "source_name", "left").withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1))))  # one row a target
+    return joined.select(
         "source_name", "target_share", "effective_share", (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("reached_share"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("uses", F.lit(0)).alias("uses"),
         F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats", (F.col("effective_share") > 0).alias("reachable"),
