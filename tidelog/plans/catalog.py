@@ -210,7 +210,7 @@ SELECT vec_id, round({expr}, 6) + 0.0 AS distance FROM (SELECT vec_id, embedding
 
 def _plan_sql(where: str) -> str:
     return f"""WITH {_LIVE_SEGMENTS}, c AS ({_cohort_sql(f"SELECT * FROM live WHERE cohort_bucket IS NOT NULL AND {where}")}),
-o AS (SELECT *, row_number() OVER w AS step, CAST(coalesce(sum(CASE WHEN expired THEN 0 ELSE bytes END) OVER (ORDER BY expired DESC, max_death NULLS LAST, cohort_bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bytes_before
+o AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS step, CAST(coalesce(sum(CASE WHEN expired THEN 0 ELSE bytes END) OVER (ORDER BY expired DESC, max_death NULLS LAST, cohort_bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bytes_before
       FROM c WINDOW w AS (ORDER BY expired DESC, max_death NULLS LAST, cohort_bucket))
 SELECT *, bytes_before < 50000000 AS chosen FROM o"""
 
