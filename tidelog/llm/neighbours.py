@@ -154,90 +154,109 @@ def _leaf_order(proj: np.ndarray) -> list[np.ndarray]:
     return leaves
 
 
-def search_block(query, data, k: int, radius: float, quantile: float, same: bool):
-    """The ``k`` nearest of ``data`` to each row of ``query`` that are within the row's bound.
-
-    Both are (ids, units, projections, squared bounds).  Returns query numbers, data
-    numbers and similarities.
+class _Nearest:
+    """The best ``k`` found so far of each row of one block, and the squared distance that still counts."""
+
+    def __init__(self, bound: np.ndarray, k: int):
+        self.k, self.bound = k, bound.astype(np.float64).copy()
+        self.found, self.similarity = np.full((len(bound), k), -1, dtype=np.int64), np.full((len(bound), k), -np.inf)
+
+    def add(self, rows: np.ndarray, others: np.ndarray, similarity: np.ndarray, ids: np.ndarray) -> None:
+        """Row by row new neighbours (numbers into ``ids``); ties go to the lower id."""
+        near = 2 - 2 * similarity <= self.bound[rows] + 1e-6
+        rows, others, similarity = rows[near], others[near], similarity[near]
+        if not len(rows):
+            return
+        k = self.k
+        touched, slot = np.unique(rows, return_inverse=True)
+        at = np.concatenate([np.repeat(np.arange(len(touched)), k), slot])
+        found = np.concatenate([self.found[touched].ravel(), others])
+        value = np.concatenate([self.similarity[touched].ravel(), similarity])
+        order = np.lexsort((np.where(found >= 0, ids[found], np.iinfo(np.int64).max), -value, at))
+        pick = order[np.searchsorted(at[order], np.arange(len(touched)))[:, None] + np.arange(k)[None, :]]
+        self.found[touched], self.similarity[touched] = found[pick], value[pick]
+        last = self.similarity[touched, k - 1]
+        full = np.isfinite(last)
+        self.bound[touched[full]] = np.minimum(self.bound[touched[full]], 2 - 2 * last[full])
+
+    def rows(self, ids: np.ndarray, others: np.ndarray):
+        i, c = np.nonzero(self.found >= 0)
+        return ids[i], others[self.found[i, c]], self.similarity[i, c]
+
+
+def search_block(left, right, k: int, quantile: float):
+    """The ``k`` nearest of each block's rows in the other block (in itself if ``right`` is None), within the rows' bounds.
+
+    Blocks are (ids, units, projections, squared bounds).  Each pair of leaves is
+    looked at once, for both sides; returns ids, neighbours' ids, similarities.
     """
-    q_ids, q_unit, q_proj, q_bound = query
-    d_ids, d_unit, d_proj, _ = data
-    leaves = _leaf_order(d_proj)
-    low, high = np.stack([d_proj[r].min(0) for r in leaves]), np.stack([d_proj[r].max(0) for r in leaves])
-    d_norm = (d_proj**2).sum(1)
-    got_q, got_d, got_s = [], [], []
-    for rows in _leaf_order(q_proj):
-        proj, unit, bound = q_proj[rows], q_unit[rows], q_bound[rows].astype(np.float64).copy()
-        best_d = np.full((len(rows), k), -1, dtype=np.int64)
-        best_s = np.full((len(rows), k), -np.inf)
-        box_lo, box_hi = proj.min(0), proj.max(0)
-        gap = (np.maximum(np.maximum(low - box_hi, box_lo - high), 0) ** 2).sum(1)
+    same = right is None
+    right = left if same else right
+    l_ids, l_unit, l_proj, l_bound = left
+    r_ids, r_unit, r_proj, r_bound = right
+    l_best = _Nearest(l_bound, k)
+    r_best = l_best if same else _Nearest(r_bound, k)
+    l_leaves = _leaf_order(l_proj)
+    r_leaves = l_leaves if same else _leaf_order(r_proj)
+    low, high = np.stack([r_proj[r].min(0) for r in r_leaves]), np.stack([r_proj[r].max(0) for r in r_leaves])
+    leaf_of = np.empty(len(r_ids), dtype=np.int64)
+    for n, r in enumerate(r_leaves):
+        leaf_of[r] = n
+    # squared projected distance less what the bounds allow, as one product: (-2 x, |x|², 1) by (y, 1, |y|²)
+    one = np.ones((len(r_ids), 1), np.float32)
+    r_side = np.hstack([r_proj, one, (r_proj**2).sum(1, keepdims=True)])
+    for number, rows in enumerate(l_leaves):
+        proj = l_proj[rows]
+        gap = (np.maximum(np.maximum(low - proj.max(0), proj.min(0) - high), 0) ** 2).sum(1)
         order = np.argsort(gap, kind="stable")
-        p_norm = (proj**2).sum(1)
+        if same:
+            order = order[order >= number]
+        norm = (proj**2).sum(1)
         for at in range(0, len(order), LEAVES_AT_ONCE):
-            if gap[order[at]] > quantile * bound.max():
+            own = l_best.bound[rows]
+            if gap[order[at]] > quantile * max(own.max(), r_best.bound.max()):
                 break  # the chi-square test: nothing unseen is nearer
-            chosen = np.concatenate([leaves[j] for j in order[at : at + LEAVES_AT_ONCE]])
-            apart = p_norm[:, None] + d_norm[chosen][None, :] - 2 * (proj @ d_proj[chosen].T)
-            i, j = np.nonzero(apart <= (quantile * bound)[:, None])
-            if same:
-                other = q_ids[rows[i]] != d_ids[chosen[j]]
-                i, j = i[other], j[other]
-            if not len(i):
+            chosen = np.concatenate([r_leaves[n] for n in order[at : at + LEAVES_AT_ONCE]])
+            limit = np.maximum(own, r_best.bound[chosen].max())
+            if gap[order[at]] > quantile * limit.max():
                 continue
-            if len(i) * 8 > apart.size:
-                s = (unit @ d_unit[chosen].T).astype(np.float64)[i, j]
-            else:
-                s = np.einsum("ij,ij->i", unit[i], d_unit[chosen[j]], dtype=np.float64)
-            near = 2 - 2 * s <= bound[i] + 1e-6
-            i, j, s = i[near], chosen[j[near]], s[near]
-            if not len(i):
+            l_side = np.hstack([-2 * proj, (norm - quantile * limit)[:, None].astype(np.float32), np.ones((len(rows), 1), np.float32)])
+            hit = np.flatnonzero((l_side @ r_side[chosen].T).ravel() <= 1e-4)
+            if not len(hit):
                 continue
-            touched = np.unique(i)
-            slot = np.full(len(rows), -1)
-            slot[touched] = np.arange(len(touched))
-            all_i = np.concatenate([np.repeat(np.arange(len(touched)), k), slot[i]])
-            all_d = np.concatenate([best_d[touched].ravel(), j])
-            all_s = np.concatenate([best_s[touched].ravel(), s])
-            ids = np.where(all_d >= 0, d_ids[all_d], np.iinfo(np.int64).max)
-            sort = np.lexsort((ids, -all_s, all_i))
-            all_i, all_d, all_s = all_i[sort], all_d[sort], all_s[sort]
-            first = np.searchsorted(all_i, np.arange(len(touched)))
-            pick = first[:, None] + np.arange(k)[None, :]
-            best_d[touched], best_s[touched] = all_d[pick], all_s[pick]
-            full = best_s[touched, k - 1]
-            bound[touched] = np.where(np.isfinite(full), np.minimum(bound[touched], 2 - 2 * full), bound[touched])
-        i, c = np.nonzero(best_d >= 0)
-        got_q.append(rows[i])
-        got_d.append(best_d[i, c])
-        got_s.append(best_s[i, c])
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-    return join(got_q, np.int64), join(got_d, np.int64), join(got_s, np.float64)
-
-
-def _search_pairs(k: int, radius: float, quantile: float):
+            i, j = np.divmod(hit, len(chosen))
+            if same:
+                once = (leaf_of[chosen[j]] != number) | (rows[i] < chosen[j])
+                i, j = i[once], j[once]
+                if not len(i):
+                    continue
+            if len(i) * 8 > len(rows) * len(chosen):
+                value = (l_unit[rows] @ r_unit[chosen].T).astype(np.float64)[i, j]
+            else:
+                value = np.einsum("ij,ij->i", l_unit[rows[i]], r_unit[chosen[j]], dtype=np.float64)
+            near = 2 - 2 * value <= np.maximum(l_best.bound[rows[i]], r_best.bound[chosen[j]]) + 1e-6
+            if near.any():
+                i, j, value = rows[i[near]], chosen[j[near]], value[near]
+                if same:
+                    l_best.add(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([value, value]), l_ids)
+                else:
+                    l_best.add(i, j, value, r_ids)
+                    r_best.add(j, i, value, l_ids)
+    parts = [l_best.rows(l_ids, r_ids)] + ([] if same else [r_best.rows(r_ids, l_ids)])
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _search_pairs(k: int, quantile: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dims = int(pdf["dims"].iat[0])
         a, b = int(pdf["_a"].iat[0]), int(pdf["_b"].iat[0])
         unpack = lambda p: (p["vector_id"].to_numpy(), _rows(p["unit"], dims), _rows(p["proj"], PROJECTED), p["_bound"].to_numpy())
-        parts = []
-        if a == b:
-            mine = unpack(pdf)
-            parts.append((mine, mine, True))
+        left, right = (pdf, None) if a == b else (pdf[pdf["_block"] == a], pdf[pdf["_block"] == b])
+        if a != b and not (len(left) and len(right)):
+            ids, others, similarity = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            left, right = pdf[pdf["_block"] == a], pdf[pdf["_block"] == b]
-            if len(left) and len(right):
-                left, right = unpack(left), unpack(right)
-                parts += [(left, right, False), (right, left, False)]
-        ids, others, sims = [], [], []
-        for query, data, same in parts:
-            q, d, s = search_block(query, data, k, radius, quantile, same)
-            ids.append(query[0][q])
-            others.append(data[0][d])
-            sims.append(s)
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
-        ids = cat(ids, np.int64)
-        return pd.DataFrame({"ns": np.full(len(ids), pdf["ns"].iat[0], dtype=object), "dims": np.full(len(ids), dims, dtype=np.int32), "vector_id": ids, "neighbour": cat(others, np.int64), "similarity": cat(sims, np.float64)})
+            ids, others, similarity = search_block(unpack(left), None if right is None else unpack(right), k, quantile)
+        return pd.DataFrame({"ns": np.full(len(ids), pdf["ns"].iat[0], dtype=object), "dims": np.full(len(ids), dims, dtype=np.int32), "vector_id": ids, "neighbour": others, "similarity": similarity})
 
     return run
 
@@ -258,10 +277,11 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
     quantile = chi_square_quantile(CONFIDENCE, PROJECTED)
     radius = 2 - 2 * least if least is not None else 4.0
     vectors = materialise(usable_vectors(nodes), "vectors")
-    # exact copies: one of them searches, and the k + 1 lowest ids can be anyone's neighbours
-    copies = Window.partitionBy("ns", "dims", "unit").orderBy("vector_id")
-    ranked = vectors.withColumn("_n", F.row_number().over(copies))
-    reps = ranked.where("_n = 1").drop("_n")
+    # exact copies, told by a hash of the vector: one of them searches
+    narrow = vectors.select("ns", "dims", "vector_id", F.sha2("unit", 256).alias("same"))
+    groups = narrow.groupBy("ns", "dims", "same").agg(F.min("vector_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copied = materialise(narrow.join(groups.drop("n"), ["ns", "dims", "same"]).drop("same"), "copies")
+    reps = vectors.join(copied.where("vector_id <> rep").select("vector_id"), "vector_id", "left_anti")
     counts = {(r[0], r[1]): r[2] for r in reps.groupBy("ns", "dims").agg(F.count("*")).where(F.col("count(1)") > block_rows).collect()}
     trees: dict[tuple[str, int], Tree] = {}
     split: dict[tuple[str, int, int], int] = {}
@@ -284,7 +304,7 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
                     pdf.loc[group.index, "_block"] = tree.place(_rows(group["proj"], PROJECTED))
             yield pdf.astype({"_block": "int32"})
 
-    placed = reps.mapInPandas(place, "vector_id bigint, ns string, dims int, unit binary, proj binary, _block int")
+    placed = reps.select("vector_id", "ns", "dims", "unit", "proj").mapInPandas(place, "vector_id bigint, ns string, dims int, unit binary, proj binary, _block int")
     if trees:
         sizes = placed.groupBy("ns", "dims", "_block").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block_rows).collect()
         split = {(r[0], r[1], r[2]): -(-r[3] // block_rows) for r in sizes}
@@ -323,7 +343,7 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
 
     schema = "vector_id bigint, ns string, dims int, unit binary, proj binary, _block int, _bound double, _a int, _b int"
     found = "ns string, dims int, vector_id bigint, neighbour bigint, similarity double"
-    search = _search_pairs(k, radius, quantile)
+    search = _search_pairs(k, quantile)
     keys = ["ns", "dims", "_a", "_b"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, sum((1 << t.depth) * ((1 << t.depth) + 1) // 2 for t in trees.values())))
     limits: dict = {}
@@ -338,17 +358,16 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
     sent = placed.mapInPandas(travel(limits), schema)
     pairs = sent.repartition(tasks, *keys).groupBy(*keys).applyInPandas(search, found)
     among = _best(pairs, ["ns", "dims", "vector_id"], k).drop("rank")
-    # back from representatives to vectors
-    low = ranked.where(F.col("_n") <= k + 1).groupBy("ns", "dims", "unit").agg(F.min("vector_id").alias("rep"), F.collect_list("vector_id").alias("ids"))
-    low = materialise(low.select("ns", "dims", "rep", "ids", "unit"), "copies")
-    expanded = among.join(low.select(F.col("rep").alias("neighbour"), "ids"), "neighbour").select(F.col("vector_id").alias("rep"), F.explode("ids").alias("neighbour"), "similarity")
-    itself = low.where(F.size("ids") > 1).select("rep", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("similarity"))
-    per_rep = _best(expanded.unionByName(itself), ["rep"], k + 1).drop("rank")
-    single = low.where(F.size("ids") == 1).select("ns", "dims", F.col("rep").alias("vector_id"), "rep")
-    many = vectors.join(low.where(F.size("ids") > 1).select("ns", "dims", "unit", "rep"), ["ns", "dims", "unit"]).select("ns", "dims", "vector_id", "rep")
-    members = single.unionByName(many)
-    mine = members.join(per_rep, "rep").where(F.col("vector_id") != F.col("neighbour"))
-    return _best(mine, ["ns", "dims", "vector_id"], k).select("ns", "dims", "vector_id", "neighbour", "similarity", "rank")
+    # back from representatives to vectors: the k + 1 lowest ids of a group can be anyone's neighbours
+    by_id = Window.partitionBy("rep").orderBy("vector_id")
+    lowest = copied.withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= k + 1)
+    lists = lowest.groupBy("ns", "dims", "rep").agg(F.collect_list("vector_id").alias("ids"))
+    seen = among.withColumnRenamed("vector_id", "rep").join(lists.select(F.col("rep").alias("neighbour"), "ids"), "neighbour", "left")
+    seen = seen.select("ns", "dims", "rep", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"), "similarity")
+    itself = lists.select("ns", "dims", "rep", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("similarity"))
+    per_rep = _best(seen.unionByName(itself), ["rep"], k + 1).drop("rank")
+    mine = per_rep.join(copied.select("rep", F.col("vector_id").alias("_member")), "rep", "left").withColumn("vector_id", F.coalesce("_member", "rep"))
+    return _best(mine.where("vector_id <> neighbour"), ["ns", "dims", "vector_id"], k).select("ns", "dims", "vector_id", "neighbour", "similarity", "rank")
 
 
 def similar_pairs(nodes: DataFrame, k: int = 10, least: float = 0.90) -> DataFrame:
