@@ -17,6 +17,7 @@ from tidelog.llm import reading as R
     [
         ("Naïve <b>Th</b>e CAFÉ_bar", "naive the cafe bar"),
         ("re-\nported up-\r\n  load", "reported upload"),
+        ("soft\xad\nly", "softly"),
         ("ze​ro so­ft ４２ ﬁle", "zero soft 42 file"),
         ("**bold** [link](http://x.y/z) `code`!", "bold link code"),
         ("ñ café straße", "n cafe strasse"),

@@ -34,6 +34,7 @@ PORTION = 200_000
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _BREAK = re.compile(r"-(?<=[^\W_]-)[ \t]*(?:\r\n?|\n)[ \t]*(?=[^\W_])")
+_SOFT = re.compile("\xad[ \\t]*(?:\\r\\n?|\\n)[ \\t]*")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"(?<=\w)[*`~]+(?=\w)")
 #: Letters that no normal form takes apart. Fixed values.
@@ -47,6 +48,8 @@ def fold(text: str | None) -> str:
     if not text:
         return ""
     if not text.isascii():
+        if "\xad" in text:  # a soft hyphen at a line end
+            text = _SOFT.sub("", text)
         text = unicodedata.normalize("NFKD", text).casefold()
         if not text.isascii():
             for c in set(text):
