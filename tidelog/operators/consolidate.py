@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegerType
 
 from tidelog.functions.bytesx import encode_key, lit_bytes
 from tidelog.operators.segments import live_segments
-from tidelog.session import drop_path, scratch
+from tidelog.session import drop_path, materialise, scratch
 
 #: A live segment below this many compressed bytes is small.
 SMALL_BYTES = 16_384
@@ -34,6 +34,8 @@ SMALL_BYTES = 16_384
 BITS = 8
 #: Keys sampled for the borders of the key coordinate; they shape locality only.
 SAMPLED_KEYS = 4_096
+#: Most segment ids (eight bytes each) that are sent to every executor.
+BROADCAST_IDS = 1_000_000
 CONTENT = ("txid", "lsn", "ts_ns", "ttl_s", "ns_len", "ns_bytes", "key_bytes", "op", "value_hash", "value_bytes")
 
 
@@ -107,8 +109,9 @@ def small_segments(entries: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFr
 def consolidate(entries: DataFrame, wal: DataFrame, small_bytes: int = SMALL_BYTES, target_bytes: int = 64 << 20, out: str | None = None) -> Consolidation:
     """Write the records of small segments into files of about ``target_bytes`` (uncompressed) and verify them."""
     spark = wal.sparkSession
-    small = small_segments(entries, small_bytes).select("segment_id")
-    held = wal.where("segment_id is not null").join(small, "segment_id", "left_semi")
+    small = materialise(small_segments(entries, small_bytes).select("segment_id"), "small-ids")
+    few = small.count() <= BROADCAST_IDS  # beyond it both sides are shuffled
+    held = wal.where("segment_id is not null").join(F.broadcast(small) if few else small, "segment_id", "left_semi")
     staged_path, out = scratch(spark, "small"), out or scratch(spark, "segments")
     held.select(*CONTENT).distinct().write.option("compression", "zstd").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
@@ -153,6 +156,7 @@ def consolidate(entries: DataFrame, wal: DataFrame, small_bytes: int = SMALL_BYT
     got = digest(written)
     if got != wanted:
         raise ValueError(f"consolidated files hold {got} (records, digest), the sources {wanted}")
+    drop_path(spark, staged_path)
     new = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(
         F.count("*").alias("record_count"), F.min("lsn").alias("min_lsn"), F.max("lsn").alias("max_lsn"), F.max("_metadata.file_size").alias("compressed_bytes")
     )
@@ -164,6 +168,3 @@ def consolidated_segments(entries: DataFrame, wal: DataFrame) -> DataFrame:
     """``segment_id`` of every small live segment, after its records were rewritten and verified."""
     done = consolidate(entries, wal)
     return done.sources.select("segment_id")
-
-
-__all__ = ["Consolidation", "consolidate", "consolidated_segments", "digest", "drop_path", "hilbert_code", "small_segments"]
