@@ -54,7 +54,7 @@ def test_pages_joined_are_the_range(random_log):
     assert kv.page(df, b"a", 0).count() == 0
 
 
-def test_budgets(random_log):
+def test_budgets(random_log, monkeypatch):
     df, model = random_log
     rows = kv.scan(df, b"a")
     some = kv.budget_items(rows, 4).collect()
@@ -67,6 +67,9 @@ def test_budgets(random_log):
         total += 2 + 1 + len(k) + len(v)
         expect.append((k, total))
     assert sorted((bytes(r["key"]), r["bytes_so_far"]) for r in kv.budget_bytes(rows, 40).collect()) == expect
+    monkeypatch.setattr(kv, "WINDOW_ROWS", 1)
+    assert sorted((bytes(r["key"]), r["bytes_so_far"]) for r in kv.budget_bytes(rows, 40).collect()) == expect
+    assert kv.budget_bytes(rows, 0).count() == 0
 
 
 def test_stats_snapshot_and_misses(spark):

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from tidelog.functions.bytesx import DELETE, encoded_length, has_prefix, in_range, key_after, lit_bytes
 from tidelog.session import materialise
 
+#: Rows that one task may run over in order.
+WINDOW_ROWS = 100_000
+
 LOG = ("ns", "key", "value", "op", "lsn", "ts_ns", "ttl_s", "txid", "seg_id")
 
 
@@ -135,9 +138,19 @@ def running_total(rows: DataFrame, order: list[str], amount: Column, name: str,
 
 
 def budget_bytes(rows: DataFrame, max_bytes: int) -> DataFrame:
-    """Rows by key up to and with the one that reaches ``max_bytes`` in total."""
+    """Rows by key up to and with the one that reaches ``max_bytes`` in total.
+
+    A row costs two bytes at least, so the budget bounds the rows looked at: they
+    are taken as a top-k, and only a budget beyond ``WINDOW_ROWS`` of them needs the
+    running sum over ranges.
+    """
     cost = encoded_length(F.col("ns"), F.col("key")) + F.coalesce(F.octet_length("value"), F.lit(0))
-    summed = running_total(rows, ["key"], cost, "bytes_so_far")
+    most = max(0, max_bytes) // 2 + 1
+    if most <= WINDOW_ROWS:
+        window = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over at most WINDOW_ROWS rows
+        summed = rows.orderBy("key").limit(most).withColumn("bytes_so_far", F.sum(cost).over(window))
+    else:
+        summed = running_total(rows, ["key"], cost, "bytes_so_far")
     return summed.where(F.col("bytes_so_far") - cost < max_bytes)
 
 
