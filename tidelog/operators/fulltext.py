@@ -178,6 +178,10 @@ def scores(documents: DataFrame, query: str, lang: str | None = None, facets: di
     return hits.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("_t", lambda x: x == F.lit(term)))
+
+
 def _scan_scores(documents: DataFrame, terms: list[str], facets: dict | None) -> DataFrame:
     distinct = list(dict.fromkeys(terms))
     read = documents.withColumn("_t", token_array(F.col("text")))
@@ -185,7 +189,7 @@ def _scan_scores(documents: DataFrame, terms: list[str], facets: dict | None) ->
     n, avg_len, df = row[0], (row[1] / row[0] if row[0] else 0.0), dict(zip(distinct, row[2:]))
     if facets:
         read = read.where(facet_filter(facets, dict(documents.dtypes)))
-    counted = read.select("doc_id", F.size("_t").alias("_len"), *[F.size(F.filter("_t", lambda x, t=t: x == t)).alias(f"_tf{i}") for i, t in enumerate(distinct)])
+    counted = read.select("doc_id", F.size("_t").alias("_len"), *[_occurrences(t).alias(f"_tf{i}") for i, t in enumerate(distinct)])
     parts = [F.lit(float(terms.count(t))) * bm25(F.col(f"_tf{i}"), F.col("_len"), F.lit(df[t]), n, avg_len) for i, t in enumerate(distinct)]
     hit = reduce(lambda a, b: a | b, (F.col(f"_tf{i}") > 0 for i in range(len(distinct))))
     return counted.where(hit).select("doc_id", reduce(lambda a, b: a + b, parts).alias("score"))
