@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidelog.functions.stem import STEMMERS
+from tidelog.session import spread
 
 K1, B = 1.2, 0.75
 TYPO_WEIGHT = 0.5
+#: Terms, typos included, up to which a query is answered by a scan; more go by postings.
+LITERAL_TERMS = 100
 TOKEN = r"[\p{IsAlphabetic}\p{N}]+"
 _RUN = re.compile(r"[^\W_]+")
 
@@ -154,17 +157,23 @@ def facet_filter(facets: dict, columns: dict[str, str]) -> Column:
 def scores(documents: DataFrame, query: str, lang: str | None = None, facets: dict | None = None, typo: bool = False, index: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
     """``doc_id``, ``score`` of every match; df and N are taken before facets.
 
-    A plain query needs no index and no shuffle: one aggregate gives N, lengths and
-    the few document frequencies, then every document is scored where it is read.
-    Stems and typos go by postings; ``index`` and ``stats`` reuse some written
-    earlier, of which only those of the query's terms are read.
+    A query without stems needs no index and no shuffle: one aggregate gives N,
+    lengths and the few document frequencies, then every document is scored where
+    it is read; typos take one more scan for the terms that occur.  Stems go by
+    postings; ``index`` and ``stats`` reuse some written earlier, of which only
+    those of the query's terms are read.
     """
     spark = documents.sparkSession
     terms = query_terms(spark, query, lang)
     if not terms:
         return spark.createDataFrame([], "doc_id bigint, score double")
-    if not lang and not typo and index is None:
-        return _scan_scores(documents, terms, facets)
+    if not lang and index is None:
+        weights = {t: float(terms.count(t)) for t in terms}
+        if typo:
+            for q, t in _typos_in(documents, terms):
+                weights[t] = weights.get(t, 0.0) + TYPO_WEIGHT * terms.count(q)
+        if len(weights) <= LITERAL_TERMS:
+            return _scan_scores(documents, weights, facets)
     index = postings(documents, lang) if index is None else index
     n, avg_len = stats or documents_stats(documents, lang)
     weights = _weights(index, terms, typo)
@@ -182,16 +191,23 @@ def _occurrences(term: str) -> Column:
     return F.size(F.filter("_t", lambda x: x == F.lit(term)))
 
 
-def _scan_scores(documents: DataFrame, terms: list[str], facets: dict | None) -> DataFrame:
-    distinct = list(dict.fromkeys(terms))
-    read = documents.withColumn("_t", token_array(F.col("text")))
-    row = read.agg(F.count("*"), F.coalesce(F.sum(F.size("_t")), F.lit(0)), *[F.count_if(F.array_contains("_t", t)) for t in distinct]).first()
-    n, avg_len, df = row[0], (row[1] / row[0] if row[0] else 0.0), dict(zip(distinct, row[2:]))
+def _typos_in(documents: DataFrame, terms: list[str]) -> list[tuple[str, str]]:
+    """(query term, term one edit away) that occur: of a query's few terms, so few themselves."""
+    close = lambda x: reduce(lambda a, b: a | b, ((F.abs(F.length(x) - len(t)) <= 1) & (F.levenshtein(x, F.lit(t), 1) == 1) for t in dict.fromkeys(terms)))
+    found = spread(documents.select("text")).select(F.explode(F.filter(token_array(F.col("text")), close)).alias("term")).distinct()
+    return [tuple(r) for r in typo_candidates(found, terms).collect()]
+
+
+def _scan_scores(documents: DataFrame, weights: dict[str, float], facets: dict | None) -> DataFrame:
+    columns = list(dict.fromkeys(["doc_id", "text", *(c for c in (facets or {}) if c in documents.columns)]))
+    read = spread(documents.select(*columns)).withColumn("_t", token_array(F.col("text")))
+    row = read.agg(F.count("*"), F.coalesce(F.sum(F.size("_t")), F.lit(0)), *[F.count_if(F.array_contains("_t", t)) for t in weights]).first()
+    n, avg_len, df = row[0], (row[1] / row[0] if row[0] else 0.0), dict(zip(weights, row[2:]))
     if facets:
         read = read.where(facet_filter(facets, dict(documents.dtypes)))
-    counted = read.select("doc_id", F.size("_t").alias("_len"), *[_occurrences(t).alias(f"_tf{i}") for i, t in enumerate(distinct)])
-    parts = [F.lit(float(terms.count(t))) * bm25(F.col(f"_tf{i}"), F.col("_len"), F.lit(df[t]), n, avg_len) for i, t in enumerate(distinct)]
-    hit = reduce(lambda a, b: a | b, (F.col(f"_tf{i}") > 0 for i in range(len(distinct))))
+    counted = read.select("doc_id", F.size("_t").alias("_len"), *[_occurrences(t).alias(f"_tf{i}") for i, t in enumerate(weights)])
+    parts = [F.lit(w) * bm25(F.col(f"_tf{i}"), F.col("_len"), F.lit(df[t]), n, avg_len) for i, (t, w) in enumerate(weights.items())]
+    hit = reduce(lambda a, b: a | b, (F.col(f"_tf{i}") > 0 for i in range(len(weights))))
     return counted.where(hit).select("doc_id", reduce(lambda a, b: a + b, parts).alias("score"))
 
 

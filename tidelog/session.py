@@ -80,6 +80,16 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores where its files give fewer than half as many partitions; else unchanged.
+
+    For work that costs far more per row than moving the row, on a table in a
+    single small file; a table of many files is read as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
