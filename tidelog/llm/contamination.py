@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.session import spread
+
 PIECE = 5
 #: Items sent to the tasks at a time, and most characters of a block.
 BLOCK_ITEMS, BLOCK_CHARS = 10_000, 16_000_000
@@ -281,7 +283,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, least_run: int = 10) ->
     whole, or if the run has at least ``least_run`` words.
     """
     schema = "doc_id bigint, item_id bigint, pieces int, longest_run int, distance int, item_words int, whole boolean"
-    corpus = documents.where("text is not null").select("doc_id", "text")
+    corpus = spread(documents.where("text is not null").select("doc_id", "text"))
     result = None
     for block in _blocks(items):
         part = corpus.mapInPandas(_search(PieceIndex(block), least_run), schema)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.session import materialise
+from tidelog.session import materialise, spread
 
 #: A public byte-level vocabulary; the path is a parameter of every operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -63,7 +63,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source_name": pdf["source_name"], "tokens": tokens})
 
     named = documents.where("text is not null and source is not null and doc_id is not null").select("doc_id", source_name(F.col("source")).alias("source_name"), "text")
-    return named.mapInPandas(count, "doc_id bigint, source_name string, tokens bigint")
+    return spread(named).mapInPandas(count, "doc_id bigint, source_name string, tokens bigint")
 
 
 def fly(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
