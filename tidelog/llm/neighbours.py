@@ -37,6 +37,8 @@ from tidelog.session import materialise
 PROJECTED, CONFIDENCE = 12, 0.99
 #: Vectors of a block, of a leaf, and leaves looked at together.
 BLOCK_ROWS, LEAF_ROWS, LEAVES_AT_ONCE = 16_384, 256, 8
+#: One in so many candidates among the projections is where verifying whole leaves is cheaper.
+DENSE = 20
 #: Sampled projections for the borders of all blocks together; at least 256 a collection that needs any.
 SAMPLED = 262_144
 SEED = 7_919
@@ -211,7 +213,7 @@ def search_block(left, right, k: int, quantile: float):
         order = np.argsort(gap, kind="stable")
         if same:
             order = order[order >= number]
-        norm = (proj**2).sum(1)
+        norm, dense = (proj**2).sum(1), False
         for at in range(0, len(order), LEAVES_AT_ONCE):
             own = l_best.bound[rows]
             if gap[order[at]] > quantile * max(own.max(), r_best.bound.max()):
@@ -220,8 +222,16 @@ def search_block(left, right, k: int, quantile: float):
             limit = np.maximum(own, r_best.bound[chosen].max())
             if gap[order[at]] > quantile * limit.max():
                 continue
-            l_side = np.hstack([-2 * proj, (norm - quantile * limit)[:, None].astype(np.float32), np.ones((len(rows), 1), np.float32)])
-            hit = np.flatnonzero((l_side @ r_side[chosen].T).ravel() <= 1e-4)
+            if not dense:
+                l_side = np.hstack([-2 * proj, (norm - quantile * limit)[:, None].astype(np.float32), np.ones((len(rows), 1), np.float32)])
+                hit = np.flatnonzero((l_side @ r_side[chosen].T).ravel() <= 1e-4)
+                # where the test spares few, the whole leaves are verified, here and in this leaf's later rounds
+                dense = len(hit) * DENSE > len(rows) * len(chosen)
+            if dense:
+                inner = l_unit[rows] @ r_unit[chosen].T
+                close = inner >= (1 - own / 2 - 1e-5).astype(np.float32)[:, None]
+                close |= inner >= (1 - r_best.bound[chosen] / 2 - 1e-5).astype(np.float32)[None, :]
+                hit = np.flatnonzero(close.ravel())
             if not len(hit):
                 continue
             i, j = np.divmod(hit, len(chosen))
@@ -230,8 +240,8 @@ def search_block(left, right, k: int, quantile: float):
                 i, j = i[once], j[once]
                 if not len(i):
                     continue
-            if len(i) * 8 > len(rows) * len(chosen):
-                value = (l_unit[rows] @ r_unit[chosen].T).astype(np.float64)[i, j]
+            if dense and len(i) * 8 > len(rows) * len(chosen):
+                value = inner[i, j].astype(np.float64)
             else:
                 value = np.einsum("ij,ij->i", l_unit[rows[i]], r_unit[chosen[j]], dtype=np.float64)
             near = 2 - 2 * value <= np.maximum(l_best.bound[rows[i]], r_best.bound[chosen[j]]) + 1e-6
