@@ -94,6 +94,16 @@ def test_capture_survives_failures(spark, tmp_path, stop):
     assert out.where("batch = 2").count() == 20
 
 
+def test_capture_delivers_the_good_copy_of_a_damaged_record(spark, tmp_path):
+    job = capture.ChangeCapture(spark, str(tmp_path / "state"), str(tmp_path / "sink"), partitions=4)
+    first = [wal_row(1, b"a", value=b"torn", minute=0, bad=True), wal_row(1, b"a", value=b"good", minute=1), wal_row(2, b"b", value=b"torn", minute=2, bad=True)]
+    first += [wal_row(3, b"c", op=7, minute=3), wal_row(4, b"d", value=b"torn", minute=99, bad=True)]
+    job.run(wal(spark, first))
+    job.run(wal(spark, first + [wal_row(2, b"b", value=b"good", minute=50), wal_row(4, b"d", value=b"good", minute=60)]))
+    out = spark.read.parquet(str(tmp_path / "sink"))
+    assert tuples(out, "lsn", "value_bytes", "batch") == [(1, b"good", 1), (2, b"good", 2), (4, b"good", 2)]
+
+
 def test_least_assignment_is_least():
     rng = np.random.default_rng(4)
     for n, m in [(1, 1), (2, 3), (4, 4), (5, 3), (6, 6)]:

@@ -89,8 +89,8 @@ def segments_to_read(live: DataFrame, waiting: DataFrame) -> DataFrame:
 class ChangeCapture:
     """Exactly-once batches over an append-only log, restartable at any point.
 
-    The log is split into ``partitions`` by a hash of the record's key.  Within a
-    partition records are ordered by (arrival, LSN); the committed offset is the
+    The log is split into ``partitions`` by a hash of the record's key.  Damaged
+    rows are left out before anything else.  Within a partition records are ordered by (arrival, LSN); the committed offset is the
     last such position.  ``run`` writes the plan (from, to of each partition)
     before it reads, so a failed batch is replayed with the same bounds even if
     more has arrived since; the sink writes each batch to its own folder, which a
@@ -114,7 +114,8 @@ class ChangeCapture:
 
     def positions(self, log: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("ns_bytes", "key_bytes"), F.lit(self.partitions)).cast("int")
-        return log.withColumn("_part", part).withColumn("_at", F.struct("arrived_at", "lsn"))
+        good = log.where(undamaged(F.col("op"), F.col("value_bytes"), F.col("value_hash")))
+        return good.withColumn("_part", part).withColumn("_at", F.struct("arrived_at", "lsn"))
 
     def offsets(self) -> DataFrame | None:
         """Committed offset of each partition: at most ``partitions`` rows."""
