@@ -90,6 +90,18 @@ def test_positions_snippets_stems(spark):
     assert [portuguese(w) for w in "gatos correndo rapidamente nações".split()] == ["gat", "corr", "rapid", "naçõ"]
 
 
+def test_positions_of_every_language(spark, tmp_path):
+    from tidelog.plans import catalog
+
+    rows = [(1, "the running cats", "en"), (2, "the running cats", " EN"), (3, "the running cats", "en-US"), (4, "os gatos correndo", "pt-BR"), (5, "os gatos correndo", "PT")]
+    rows += [(6, "the running gatos", None), (7, "the running gatos", "es"), (8, "running", "eng"), (9, None, "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["postings_positions"](spark, str(tmp_path))
+    want = [(i, t, p) for i in (1, 2, 3) for t, p in (("run", [4]), ("cat", [12]))] + [(i, t, p) for i in (4, 5) for t, p in (("gat", [3]), ("corr", [9]))]
+    want += [(i, t, p) for i in (6, 7) for t, p in (("the", [0]), ("running", [4]), ("gatos", [12]))] + [(8, "running", [0])]
+    assert tuples(got, "doc_id", "term", "positions") == sorted(want, key=repr)
+
+
 def test_typo_edits_are_characters(spark):
     index = spark.createDataFrame([("hallo",), ("helllo",), ("hell",), ("heloh",), ("hello",), ("héllo",)], "term string")
     assert tuples(fulltext.typo_candidates(index, ["hello"]), "term") == sorted([("hallo",), ("helllo",), ("hell",), ("héllo",)], key=repr)

@@ -9,6 +9,7 @@ often; order is score, then id.  An empty query finds nothing.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -23,6 +24,8 @@ K1, B = 1.2, 0.75
 TYPO_WEIGHT = 0.5
 #: Terms, typos included, up to which a query is answered by a scan; more go by postings.
 LITERAL_TERMS = 100
+#: Postings with positions that a task hands on at a time, but for a document's rest.
+POSTINGS_AT_ONCE = 50_000
 TOKEN = r"[\p{IsAlphabetic}\p{N}]+"
 _RUN = re.compile(r"[^\W_]+")
 
@@ -60,38 +63,82 @@ def stemmed(terms: DataFrame, lang: str) -> DataFrame:
     return terms.join(distinct, "term").withColumn("term", F.col("_stem")).drop("_stem")
 
 
-def token_positions(documents: DataFrame, lang: str | None = None) -> DataFrame:
-    """``doc_id``, ``term``, ``pos``: as ``tokens``, with the character a token starts at."""
-    stop = frozenset(stopwords(documents.sparkSession, lang)) if lang else frozenset()
-    stem = STEMMERS[lang] if lang else None
+def language(lang: Column) -> Column:
+    """A row's language as a key of ``STEMMERS``: case, outer spaces and region don't matter; null for any other."""
+    short = F.regexp_extract(F.lower(F.trim(lang)), "^([a-z]+)([-_]|$)", 1)
+    return F.when(short.isin(*STEMMERS), short)
+
+
+def _placed_words(documents: DataFrame, lang: str | Column | None) -> tuple[DataFrame, Callable]:
+    """Rows of ``doc_id``, ``text``, ``_lang``, and a function that gives such a text's terms with their places."""
+    langs = list(STEMMERS) if isinstance(lang, Column) else [lang] if lang else []
+    stops = {x: frozenset(stopwords(documents.sparkSession, x)) for x in langs}
+    stems = {x: STEMMERS[x] for x in langs}
+
+    def words(text: str, own: str | None, known: dict):
+        """``known``: stems found so far."""
+        stop, stem = stops.get(own, frozenset()), stems.get(own)
+        for m in _RUN.finditer(text):
+            word = m[0].lower()
+            if word in stop:
+                continue
+            if stem:
+                word = known.get((own, word)) or known.setdefault((own, word), stem(word))
+            yield word, m.start()
+
+    own = lang if isinstance(lang, Column) else F.lit(lang).cast("string")
+    return documents.where("text is not null").select("doc_id", "text", own.alias("_lang")), words
+
+
+def token_positions(documents: DataFrame, lang: str | Column | None = None) -> DataFrame:
+    """``doc_id``, ``term``, ``pos``: as ``tokens``, with the character a token starts at.
+
+    A column as ``lang`` gives each row its own language, null for none.
+    """
+    rows, words = _placed_words(documents, lang)
 
     def run(batches):
         for pdf in batches:
-            ids, terms, places = [], [], []
-            known: dict[str, str] = {}
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                for m in _RUN.finditer(text):
-                    word = m[0].lower()
-                    if word in stop:
-                        continue
-                    if stem:
-                        word = known.get(word) or known.setdefault(word, stem(word))
-                    ids.append(doc_id)
-                    terms.append(word)
-                    places.append(m.start())
-            if ids:
-                yield pd.DataFrame({"doc_id": ids, "term": terms, "pos": places})
+            known: dict = {}
+            found = [(i, w, at) for i, text, own in zip(pdf["doc_id"], pdf["text"], pdf["_lang"]) for w, at in words(text, own, known)]
+            if found:
+                yield pd.DataFrame(found, columns=["doc_id", "term", "pos"])
+
+    return rows.mapInPandas(run, "doc_id bigint, term string, pos int")
+
+
+def _positioned_postings(documents: DataFrame, lang: str | Column | None) -> DataFrame:
+    """Postings with positions, made where a document is read: nothing is shuffled."""
+    rows, words = _placed_words(documents, lang)
+    names = ["doc_id", "term", "tf", "positions", "doc_len"]
+
+    def run(batches):
+        for pdf in batches:
+            known: dict = {}
+            out: list[tuple] = []
+            for doc_id, text, own in zip(pdf["doc_id"], pdf["text"], pdf["_lang"]):
+                places: dict[str, list[int]] = {}
+                for word, at in words(text, own, known):
+                    places.setdefault(word, []).append(at)
+                size = sum(map(len, places.values()))
+                out += [(doc_id, word, len(at), at, size) for word, at in places.items()]
+                if len(out) >= POSTINGS_AT_ONCE:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
-    return documents.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, term string, pos int")
+    return spread(rows).mapInPandas(run, "doc_id bigint, term string, tf bigint, positions array<int>, doc_len bigint")
 
 
-def postings(documents: DataFrame, lang: str | None = None, positions: bool = False) -> DataFrame:
-    """``term``, ``doc_id``, ``tf``, ``doc_len`` (and ``positions``) of every document."""
+def postings(documents: DataFrame, lang: str | Column | None = None, positions: bool = False) -> DataFrame:
+    """``term``, ``doc_id``, ``tf``, ``doc_len`` of every document.
+
+    With ``positions`` also these; a document is then one row, and ``lang`` may be a column.
+    """
     if positions:
-        found = token_positions(documents, lang)
-        counted = found.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))  # one document's
-    else:
-        counted = tokens(documents, lang).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        return _positioned_postings(documents, lang)
+    counted = tokens(documents, lang).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
     return counted.join(lengths, "doc_id")
 

@@ -125,7 +125,7 @@ def queries() -> dict[str, Query]:
         # full text
         "tokens": lambda s, d: fulltext.tokens(_docs(s, d)),
         "postings": lambda s, d: fulltext.postings(_docs(s, d)),
-        "postings_positions": lambda s, d: fulltext.postings(_docs(s, d).where("lang = 'en'"), "en", True),
+        "postings_positions": lambda s, d: fulltext.postings(_docs(s, d), fulltext.language(F.col("lang")), True),
         "corpus_stats": lambda s, d: _rounded(fulltext.corpus_stats(_docs(s, d))),
         "bm25_topk": lambda s, d: fulltext.search(_docs(s, d), TEXT_QUERY, 20),
         "bm25_facets": lambda s, d: fulltext.search(_docs(s, d), TEXT_QUERY, 20, facets={"lang": "en", "source": "forum"}),
