@@ -49,6 +49,21 @@ def test_cell_index(spark, points, tmp_path):
     assert index.stale("two") and not index.stale("one")
 
 
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+def test_cell_index_recall_over_a_whole_table(spark, tmp_path, metric):
+    data = np.random.default_rng(5).normal(size=(3_000, 32))
+    df = spark.createDataFrame(list(enumerate(data.tolist())), "vec_id bigint, embedding array<double>")
+    index = vectors.CellIndex(spark, str(tmp_path)).build(df, 60, metric)
+    head = index.head()
+    far = fv.distances(np.random.default_rng(6).normal(size=(6, 32)), data, metric)
+    hits = 0
+    for q, d in zip(np.random.default_rng(6).normal(size=(6, 32)), far):
+        hits += len(set(d.argsort()[:10].tolist()) & {r[0] for r in index.search(q.tolist(), 10).collect()})
+    assert hits >= 54
+    assert [k for k, _ in head["probes"]] == [1, 10, 100] and all(1 <= n <= 60 for _, n in head["probes"])
+    assert index.search(data[0].tolist(), 3_000).count() == 3_000  # beyond what was measured: all cells
+
+
 def test_codecs_round_trip():
     for dtype, values in (("F32", [1.5, -2.0]), ("F16", [0.5, 65504.0]), ("I8", [-128, 127])):
         dims, kind, got = codecs.decode_vector(codecs.encode_vector(values, dtype))
