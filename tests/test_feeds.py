@@ -137,6 +137,23 @@ def test_diff_of_a_hot_key_reports_every_copy(spark):
     assert diff.diff_copies(left, right, ["k"], ["a", "b"]).where("finding in ('a', 'b')").count() == 50  # the least
 
 
+@pytest.mark.parametrize("together", [16_384, 64])
+def test_diff_of_few_rows_against_many_is_least(spark, monkeypatch, together):
+    monkeypatch.setattr(diff, "GROUP_COPIES", together)
+    rng = np.random.default_rng(8)
+    few = np.array([[9, 9, 9, 9], [0, 1, 2, 3], [0, 1, 2, 3], [4, 4, 4, 0]])
+    many = rng.integers(0, 6, (600, 4))
+    many[599] = [0, 9, 9, 9]  # near to the first, far from it in the order of rows
+    schema = "k bigint, a bigint, b bigint, c bigint, d bigint"
+    rows = lambda data: spark.createDataFrame([(k, *map(int, r)) for k in (1, 2) for r in data], schema)
+    lone, fields = np.array([len(many) - len(few)] * 2), ["a", "b", "c", "d"]
+    least = 2 * sum((few[i] != many[j]).sum() for i, j in diff.least_assignment((few[:, None] != many[None]).sum(2).astype(float)))
+    for left, right, surplus in ((few, many, "surplus_on_right"), (many, few, "surplus_on_left")):
+        found = {r["finding"]: r["n"] for r in diff.diff_copies(rows(left), rows(right), ["k"], fields, exact_limit=128).groupBy("finding").agg(F.sum("copies").alias("n")).collect()}
+        assert sum(found.get(f, 0) for f in fields) == least
+        assert found[surplus] - found.get("surplus_on_left" if surplus == "surplus_on_right" else "surplus_on_right", 0) == lone.sum()
+
+
 def manifest(spark, rows):
     schema = "entry_no bigint, entry_type string, segment_id bigint, segment_hash string, min_key binary, max_key binary, min_lsn bigint, max_lsn bigint, record_count bigint, compressed_bytes bigint, uncompressed_bytes bigint, compression string, cohort_bucket bigint, death_time bigint, merkle_root string, text_index_stripped boolean, vector_index_stripped boolean, created_at timestamp_ntz"
     return spark.createDataFrame([(n, kind, seg, "ab", b"a", b"z", 1, 9, 1, size, 1, "zstd", 1, 1, "cd", False, False, DAY) for n, kind, seg, size in rows], schema)

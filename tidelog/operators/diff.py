@@ -6,11 +6,13 @@ their differing fields, the unpaired give missing rows or surplus copies.
 
 Rows are first reduced to distinct rows with counts, on the map side, so copies
 never travel.  Keys with at most one distinct leftover a side, nearly all of
-them, are settled by that aggregate alone.  Groups of up to ``exact_limit``
-distinct leftovers are assigned exactly.  Larger groups are cut, sorted by their
-fields, into blocks of that size which are assigned exactly each, and the rest is
-paired by rank: every row is reported, but the pairing of such a group is not
-proven least.
+them, are settled by that aggregate alone.  Other groups are assigned exactly
+where the work, copies of the smaller side squared times those of the larger, is
+at most ``exact_limit`` cubed, so a few rows against very many are too: of the
+larger side only each small row's nearest can be needed, and they are picked in
+parallel.  Groups large on both sides are cut, sorted by their fields, into blocks
+of ``exact_limit`` which are assigned exactly each, and the rest is paired by
+rank: every row is reported, but the pairing of such a group is not proven least.
 
 Defined cases: two nulls are equal, null differs from a value; rows with a null
 key are compared like others; empty sides give only missing rows; other columns
@@ -30,6 +32,10 @@ from tidelog.operators.segments import HASHES, META, live_segments
 from tidelog.session import materialise
 
 
+#: Copies of a group, both sides, that one task takes; of larger ones it takes the rows near the smaller side.
+GROUP_COPIES = 16_384
+
+
 def least_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost, one for each row or column of the shorter side.
 
@@ -65,6 +71,17 @@ def least_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
+def _costs(left: pd.Series, right: pd.Series, fields: int) -> np.ndarray:
+    """Differing fields of each pair of rows."""
+    codes: dict = {}
+    encode = lambda rows: np.array([[codes.setdefault(x, len(codes)) for x in r] for r in rows], dtype=np.int64).reshape(len(rows), fields)
+    a, b = encode(left), encode(right)
+    cost = np.zeros((len(a), len(b)))
+    for f in range(fields):
+        cost += a[:, f, None] != b[None, :, f]
+    return cost
+
+
 def _assign(fields: int):
     """Pandas function over one group: columns ``_row`` (field images), ``_l``, ``_r`` (counts left over)."""
 
@@ -73,10 +90,7 @@ def _assign(fields: int):
         right = pdf[pdf["_r"] > 0].reset_index(drop=True)
         li = np.repeat(np.arange(len(left)), left["_l"].to_numpy(dtype=int))
         ri = np.repeat(np.arange(len(right)), right["_r"].to_numpy(dtype=int))
-        codes: dict = {}
-        encode = lambda rows: np.array([[codes.setdefault(x, len(codes)) for x in r] for r in rows], dtype=np.int64).reshape(len(rows), fields)
-        a, b = encode(left["_row"]), encode(right["_row"])
-        cost = (a[:, None, :] != b[None, :, :]).sum(2).astype(float) if len(a) and len(b) else np.zeros((len(a), len(b)))
+        cost = _costs(left["_row"], right["_row"], fields)
         pairs = least_assignment(cost[np.ix_(li, ri)]) if len(li) and len(ri) else []
         out = [(left["_row"][li[i]], right["_row"][ri[j]]) for i, j in pairs]
         out += [(left["_row"][li[i]], None) for i in sorted(set(range(len(li))) - {i for i, _ in pairs})]
@@ -86,7 +100,7 @@ def _assign(fields: int):
     return run
 
 
-def pair_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], exact_limit: int = 256) -> DataFrame:
+def pair_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], exact_limit: int = 1024) -> DataFrame:
     """Leftover pairs: ``_key`` (array of strings), ``_left`` and ``_right`` (arrays of field images or null), ``_copies``.
 
     Images are strings (binary in hex), so rows of any field types travel alike.
@@ -128,21 +142,63 @@ def pair_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list
         ).alias("_p"),
     ).select("_key", "_p._left", "_p._right", "_p._copies")
     harder = groups.where("_dl > 1 or _dr > 1")
-    size = F.col("_sl") + F.col("_sr")
-    n_few, n_many = harder.agg(F.count_if(size <= exact_limit), F.count_if(size > exact_limit)).first()
+    less, size = both.cast("double"), F.col("_sl") + F.col("_sr")
+    exact = less * less * F.greatest("_sl", "_sr") <= float(exact_limit) ** 3
+    sort = F.when(~exact, "blocks").when(size <= GROUP_COPIES, "few").otherwise("lopsided")
+    harder = harder.select("_key", "_sl", "_sr", sort.alias("_sort"))
+    n = {r[0]: r[1] for r in harder.groupBy("_sort").count().collect()}
+    of = lambda which: rest.join(harder.where(F.col("_sort") == which).drop("_sort"), "_key")
     schema = "_key array<string>, _left array<string>, _right array<string>"
     run = _assign(len(fields))
     paired = []
-    if n_few:
-        few = rest.join(harder.where(size <= exact_limit).select("_key"), "_key", "left_semi")
-        paired.append(few.groupBy("_key").applyInPandas(run, schema))
-    if n_many:
-        paired += _pair_in_blocks(rest.join(harder.where(size > exact_limit).select("_key"), "_key", "left_semi"), run, schema, exact_limit)
+    if "few" in n:
+        paired.append(of("few").drop("_sl", "_sr").groupBy("_key").applyInPandas(run, schema))
+    if "lopsided" in n:
+        near, far = _near_rows(of("lopsided"), len(fields))
+        paired.append(near.groupBy("_key").applyInPandas(run, schema))
+        settled = settled.unionByName(far)
+    if "blocks" in n:
+        paired += _pair_in_blocks(of("blocks").drop("_sl", "_sr"), run, schema, exact_limit)
     for more in paired:
         settled = settled.unionByName(more.withColumn("_copies", F.lit(1).cast("bigint")))
     return settled
 
 
+def _near_rows(groups: DataFrame, fields: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of s copies against very many: rows that a least assignment needs, and the rest as lone pairs.
+
+    Were a row of the smaller side paired with none of its s nearest, one of these
+    would be free and no dearer; so its s nearest of each part are enough.
+    """
+    small = F.least("_sl", "_sr")
+    few = ((F.col("_l") > 0) & (F.col("_sl") <= F.col("_sr"))) | ((F.col("_r") > 0) & (F.col("_sr") < F.col("_sl")))
+    parts = F.ceil((F.col("_sl") + F.col("_sr")) / GROUP_COPIES).cast("int")
+    own = F.when(few, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("_row"), parts).cast("int")))
+    parted = groups.select("_key", "_row", "_l", "_r", few.alias("_few"), small.cast("bigint").alias("_s"), F.explode(own).alias("_part"))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        few, many, s = pdf[pdf["_few"]], pdf[~pdf["_few"]].reset_index(drop=True), int(pdf["_s"].iloc[0])
+        keep = np.zeros(len(many), dtype=bool)
+        if len(few) and len(many):
+            cost = _costs(few["_row"].reset_index(drop=True), many["_row"], fields)
+            keep[np.unique(cost.argsort(1, kind="stable")[:, :s])] = True
+        near = many[keep].assign(_near=True)
+        near[["_l", "_r"]] = near[["_l", "_r"]].clip(upper=s)
+        far = many.assign(_near=False)
+        far.loc[keep, ["_l", "_r"]] = (far.loc[keep, ["_l", "_r"]] - s).clip(lower=0)
+        out = [near, far[(far["_l"] > 0) | (far["_r"] > 0)]]
+        if pdf["_part"].iloc[0] == 0:
+            out.append(few.assign(_near=True))
+        return pd.concat(out)[["_key", "_row", "_l", "_r", "_near"]]
+
+    picked = parted.groupBy("_key", "_part").applyInPandas(pick, "_key array<string>, _row array<string>, _l bigint, _r bigint, _near boolean")
+    picked = materialise(picked, "near")
+    far = picked.where("not _near").select(
+        "_key", F.when(F.col("_l") > 0, F.col("_row")).alias("_left"), F.when(F.col("_r") > 0, F.col("_row")).alias("_right"), (F.col("_l") + F.col("_r")).alias("_copies")
+    )
+    return picked.where("_near").select("_key", "_row", "_l", "_r"), far
+
+
 def _pair_in_blocks(many: DataFrame, run, schema: str, limit: int) -> list[DataFrame]:
     """Pairs of groups too large to be assigned at once: blocks in the order of the rows, the rest by rank."""
     # each copy its own row, so that a block holds at most `limit` copies
@@ -162,7 +218,7 @@ def _pair_in_blocks(many: DataFrame, run, schema: str, limit: int) -> list[DataF
     return [blocked.where("_left is not null and _right is not null"), late]
 
 
-def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], exact_limit: int = 256) -> DataFrame:
+def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], exact_limit: int = 1024) -> DataFrame:
     """One row per difference: the key columns as strings, ``finding``, both values, ``copies``.
 
     ``finding`` is ``missing_on_right``, ``missing_on_left`` (no row of the key is
