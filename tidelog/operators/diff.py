@@ -6,13 +6,13 @@ their differing fields, the unpaired give missing rows or surplus copies.
 
 Rows are first reduced to distinct rows with counts, on the map side, so copies
 never travel.  Keys with at most one distinct leftover a side, nearly all of
-them, are settled by that aggregate alone.  Other groups are assigned exactly
-where the work, copies of the smaller side squared times those of the larger, is
-at most ``exact_limit`` cubed, so a few rows against very many are too: of the
-larger side only each small row's nearest can be needed, and they are picked in
-parallel.  Groups large on both sides are cut, sorted by their fields, into blocks
-of ``exact_limit`` which are assigned exactly each, and the rest is paired by
-rank: every row is reported, but the pairing of such a group is not proven least.
+them, are settled by that aggregate alone.  Other groups are assigned exactly, as
+a transport of copies between distinct rows: up to ``exact_limit`` squared pairs
+of distinct rows in one task, and a few rows against very many by picking in
+parallel those of the larger side that a least assignment can need.  Groups with
+more distinct rows on both sides than that are assigned in blocks of their order,
+then in blocks of other orders as long as that makes the pairing cheaper: every
+row is reported, but such a pairing is not proven least.
 
 Defined cases: two nulls are equal, null differs from a value; rows with a null
 key are compared like others; empty sides give only missing rows; other columns
@@ -32,75 +32,137 @@ from tidelog.operators.segments import HASHES, META, live_segments
 from tidelog.session import materialise
 
 
-#: Copies of a group, both sides, that one task takes; of larger ones it takes the rows near the smaller side.
-GROUP_COPIES = 16_384
+#: Distinct rows of a group, both sides, that one task takes; of larger ones it takes the rows near the smaller side.
+GROUP_ROWS = 16_384
+#: Copies of a block, where a group is beyond the exact ways, and most rounds of blocks in other orders.
+BLOCK_ROWS, ROUNDS = 2_048, 6
 
 
-def least_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of least total cost, one for each row or column of the shorter side.
+def least_transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, column, amount) of least total cost that uses up the smaller of supply and demand.  Costs are whole numbers.
 
-    Shortest augmenting paths with potentials: O(rows² x columns).
+    Primal and dual by turns: along pairs without slack as much flows as can, by
+    searches that share their visited columns; then the potentials move, from all
+    rows with supply left at once, until another column with room is in reach.
     """
-    if cost.size == 0:
+    if not cost.size:
         return []
-    if cost.shape[0] > cost.shape[1]:
-        return [(i, j) for j, i in least_assignment(cost.T)]
+    if supply.sum() > demand.sum():
+        return [(i, j, a) for j, i, a in least_transport(np.ascontiguousarray(cost.T), demand, supply)]
     n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, dtype=int)  # row + 1 of each column; column 0 is the start
-    for i in range(1, n + 1):
-        match[0], at = i, 0
-        least, came, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
-        while match[at]:
-            used[at] = True
-            row = match[at]
-            slack = cost[row - 1] - u[row] - v[1:]
-            better = ~used[1:] & (slack < least[1:])
-            least[1:][better], came[1:][better] = slack[better], at
-            free = np.where(used, np.inf, least)
-            free[0] = np.inf
-            nxt = int(np.argmin(free))
-            step = free[nxt]
-            u[match[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            at = nxt
-        while at:
-            match[at] = match[came[at]]
-            at = came[at]
-    return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
+    left, room = supply.astype(np.int64).copy(), demand.astype(np.int64).copy()
+    u, v = cost.min(1).astype(np.int64), np.zeros(m, dtype=np.int64)
+    flow: list[dict[int, int]] = [{} for _ in range(m)]
+    col_from, row_from = np.zeros(m, dtype=np.int64), np.zeros(n, dtype=np.int64)
+
+    def push(start: int, col: int) -> None:
+        path, i, j = [], int(col_from[col]), col
+        amount = min(int(left[start]), int(room[col]))
+        while True:
+            path.append((i, j))
+            if i == start:
+                break
+            back = int(row_from[i])
+            amount = min(amount, flow[back][i])
+            i, j = int(col_from[back]), back
+        for at, (i, j) in enumerate(path):
+            flow[j][i] = flow[j].get(i, 0) + amount
+            if at + 1 < len(path):
+                back = path[at + 1][1]
+                flow[back][i] -= amount
+                if not flow[back][i]:
+                    del flow[back][i]
+        left[start] -= amount
+        room[col] -= amount
+
+    def sweep() -> None:
+        seen, visited = np.zeros(m, dtype=bool), np.zeros(n, dtype=bool)
+        for start in np.flatnonzero(left):
+            stack = [int(start)]
+            while stack and left[start]:
+                i = stack[-1]
+                tight = np.flatnonzero((cost[i] - u[i] == v) & ~seen)
+                if not len(tight):
+                    stack.pop()
+                    continue
+                free = tight[room[tight] > 0]
+                if len(free):
+                    col_from[free[0]] = i
+                    push(int(start), int(free[0]))
+                    stack = [int(start)]
+                    continue
+                j = int(tight[0])
+                seen[j], col_from[j] = True, i
+                for r in flow[j]:
+                    if not visited[r] and r != start:
+                        visited[r], row_from[r] = True, j
+                        stack.append(r)
+
+    def slack(rows: np.ndarray) -> np.ndarray:
+        parts = [(cost[rows[k : k + 256]] - u[rows[k : k + 256], None]).min(0) for k in range(0, len(rows), 256)]
+        return np.min(parts, axis=0) - v
+
+    while True:
+        sweep()
+        reached, full = left > 0, np.zeros(m, dtype=bool)
+        if not reached.any():
+            return [(i, j, a) for j in range(m) for i, a in flow[j].items()]
+        least = slack(np.flatnonzero(reached))
+        while True:
+            step = least[~full].min()
+            u[reached] += step
+            v[full] -= step
+            least[~full] -= step
+            new = ~full & (least == 0)
+            if (room[new] > 0).any():
+                break
+            full |= new
+            rows = np.array(sorted({r for j in np.flatnonzero(new) for r in flow[j]} - set(np.flatnonzero(reached).tolist())), dtype=np.int64)
+            if len(rows):
+                reached[rows] = True
+                least = np.where(full, least, np.minimum(least, slack(rows)))
+
+
+def least_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of least total cost, one for each row or column of the shorter side."""
+    ones = np.ones(max(cost.shape, default=0), dtype=np.int64)
+    return [(i, j) for i, j, _ in least_transport(np.rint(cost).astype(np.int64), ones[: cost.shape[0]], ones[: cost.shape[1]])] if cost.size else []
 
 
 def _costs(left: pd.Series, right: pd.Series, fields: int) -> np.ndarray:
     """Differing fields of each pair of rows."""
     codes: dict = {}
-    encode = lambda rows: np.array([[codes.setdefault(x, len(codes)) for x in r] for r in rows], dtype=np.int64).reshape(len(rows), fields)
+    encode = lambda rows: np.array([[codes.setdefault(x, len(codes)) for x in r] for r in rows], dtype=np.int32).reshape(len(rows), fields)
     a, b = encode(left), encode(right)
-    cost = np.zeros((len(a), len(b)))
+    cost = np.zeros((len(a), len(b)), dtype=np.uint8 if fields < 255 else np.int32)
     for f in range(fields):
         cost += a[:, f, None] != b[None, :, f]
     return cost
 
 
+PAIRS = "_key array<string>, _left array<string>, _right array<string>, _copies bigint"
+
+
 def _assign(fields: int):
     """Pandas function over one group: columns ``_row`` (field images), ``_l``, ``_r`` (counts left over)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf[pdf["_l"] > 0].reset_index(drop=True)
         right = pdf[pdf["_r"] > 0].reset_index(drop=True)
-        li = np.repeat(np.arange(len(left)), left["_l"].to_numpy(dtype=int))
-        ri = np.repeat(np.arange(len(right)), right["_r"].to_numpy(dtype=int))
-        cost = _costs(left["_row"], right["_row"], fields)
-        pairs = least_assignment(cost[np.ix_(li, ri)]) if len(li) and len(ri) else []
-        out = [(left["_row"][li[i]], right["_row"][ri[j]]) for i, j in pairs]
-        out += [(left["_row"][li[i]], None) for i in sorted(set(range(len(li))) - {i for i, _ in pairs})]
-        out += [(None, right["_row"][ri[j]]) for j in sorted(set(range(len(ri))) - {j for _, j in pairs})]
-        return pd.DataFrame({"_key": [pdf["_key"].iloc[0]] * len(out), "_left": [x for x, _ in out], "_right": [x for _, x in out]})
+        l_open, r_open = left["_l"].to_numpy(dtype=np.int64).copy(), right["_r"].to_numpy(dtype=np.int64).copy()
+        moves = least_transport(_costs(left["_row"], right["_row"], fields), l_open, r_open) if len(left) and len(right) else []
+        out = [(left["_row"][i], right["_row"][j], a) for i, j, a in moves]
+        for i, j, a in moves:
+            l_open[i] -= a
+            r_open[j] -= a
+        out += [(left["_row"][i], None, int(l_open[i])) for i in np.flatnonzero(l_open)]
+        out += [(None, right["_row"][j], int(r_open[j])) for j in np.flatnonzero(r_open)]
+        return pd.DataFrame({"_key": [pdf["_key"].iloc[0]] * len(out), "_left": [x for x, _, _ in out], "_right": [x for _, x, _ in out], "_copies": np.array([a for _, _, a in out], dtype=np.int64)})
 
     return run
 
 
-def pair_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], exact_limit: int = 1024) -> DataFrame:
+def pair_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], exact_limit: int = 8_192) -> DataFrame:
     """Leftover pairs: ``_key`` (array of strings), ``_left`` and ``_right`` (arrays of field images or null), ``_copies``.
 
     Images are strings (binary in hex), so rows of any field types travel alike.
@@ -142,25 +204,22 @@ def pair_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list
         ).alias("_p"),
     ).select("_key", "_p._left", "_p._right", "_p._copies")
     harder = groups.where("_dl > 1 or _dr > 1")
-    less, size = both.cast("double"), F.col("_sl") + F.col("_sr")
-    exact = less * less * F.greatest("_sl", "_sr") <= float(exact_limit) ** 3
-    sort = F.when(~exact, "blocks").when(size <= GROUP_COPIES, "few").otherwise("lopsided")
-    harder = harder.select("_key", "_sl", "_sr", sort.alias("_sort"))
+    less, distinct = both.cast("double"), F.col("_dl") + F.col("_dr")
+    cells = float(exact_limit) ** 2
+    exact = F.col("_dl").cast("double") * F.col("_dr") <= cells
+    lopsided = less * less * F.greatest("_sl", "_sr") <= 64 * cells
+    sort = F.when(exact & (distinct <= GROUP_ROWS), "few").when(lopsided, "lopsided").otherwise("blocks")
+    harder = harder.select("_key", "_sl", "_sr", distinct.alias("_d"), sort.alias("_sort"))
     n = {r[0]: r[1] for r in harder.groupBy("_sort").count().collect()}
     of = lambda which: rest.join(harder.where(F.col("_sort") == which).drop("_sort"), "_key")
-    schema = "_key array<string>, _left array<string>, _right array<string>"
     run = _assign(len(fields))
-    paired = []
     if "few" in n:
-        paired.append(of("few").drop("_sl", "_sr").groupBy("_key").applyInPandas(run, schema))
+        settled = settled.unionByName(of("few").select("_key", "_row", "_l", "_r").groupBy("_key").applyInPandas(run, PAIRS))
     if "lopsided" in n:
         near, far = _near_rows(of("lopsided"), len(fields))
-        paired.append(near.groupBy("_key").applyInPandas(run, schema))
-        settled = settled.unionByName(far)
+        settled = settled.unionByName(near.groupBy("_key").applyInPandas(run, PAIRS)).unionByName(far)
     if "blocks" in n:
-        paired += _pair_in_blocks(of("blocks").drop("_sl", "_sr"), run, schema, exact_limit)
-    for more in paired:
-        settled = settled.unionByName(more.withColumn("_copies", F.lit(1).cast("bigint")))
+        settled = settled.unionByName(_pair_in_blocks(of("blocks").select("_key", "_row", "_l", "_r"), len(fields), BLOCK_ROWS))
     return settled
 
 
@@ -172,7 +231,7 @@ def _near_rows(groups: DataFrame, fields: int) -> tuple[DataFrame, DataFrame]:
     """
     small = F.least("_sl", "_sr")
     few = ((F.col("_l") > 0) & (F.col("_sl") <= F.col("_sr"))) | ((F.col("_r") > 0) & (F.col("_sr") < F.col("_sl")))
-    parts = F.ceil((F.col("_sl") + F.col("_sr")) / GROUP_COPIES).cast("int")
+    parts = F.ceil(F.col("_d") / GROUP_ROWS).cast("int")
     own = F.when(few, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("_row"), parts).cast("int")))
     parted = groups.select("_key", "_row", "_l", "_r", few.alias("_few"), small.cast("bigint").alias("_s"), F.explode(own).alias("_part"))
 
@@ -199,26 +258,53 @@ def _near_rows(groups: DataFrame, fields: int) -> tuple[DataFrame, DataFrame]:
     return picked.where("_near").select("_key", "_row", "_l", "_r"), far
 
 
-def _pair_in_blocks(many: DataFrame, run, schema: str, limit: int) -> list[DataFrame]:
-    """Pairs of groups too large to be assigned at once: blocks in the order of the rows, the rest by rank."""
-    # each copy its own row, so that a block holds at most `limit` copies
-    many = many.withColumn("_c", F.explode(F.sequence(F.lit(1), F.greatest("_l", "_r").cast("int")))).withColumns(
-        {"_l": F.col("_l").cast("boolean").cast("bigint"), "_r": F.col("_r").cast("boolean").cast("bigint")}
-    )
-    ranked = running_total(many, ["_key", "_row", "_c"], F.lit(1), "_rank").withColumn("_block", F.floor(F.col("_rank") / limit))
-    blocked = materialise(ranked.groupBy("_key", "_block").applyInPandas(run, schema), "blocks")
-    lone_l = running_total(blocked.where("_right is null").select("_key", "_left"), ["_key", "_left"], F.lit(1), "_rank")
-    lone_r = running_total(blocked.where("_left is null").select("_key", "_right"), ["_key", "_right"], F.lit(1), "_rank")
-
-    def nth(df: DataFrame, column: str) -> DataFrame:
-        first = df.groupBy("_key").agg(F.min("_rank").alias("_first"))
-        return df.join(first, "_key").select("_key", (F.col("_rank") - F.col("_first")).alias("_n"), column)
-
-    late = nth(lone_l, "_left").join(nth(lone_r, "_right"), ["_key", "_n"], "full_outer").select("_key", "_left", "_right")
-    return [blocked.where("_left is not null and _right is not null"), late]
-
-
-def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], exact_limit: int = 1024) -> DataFrame:
+def _in_blocks(rows: DataFrame, order: list[str], amount: str, size: int) -> DataFrame:
+    """``rows`` with ``_block``: stretches of ``size`` copies in the order; a row with more copies is in several, each with its part of ``amount``."""
+    ranked = running_total(rows, ["_key", *order], F.col(amount), "_end")
+    first = ranked.groupBy("_key").agg(F.min(F.col("_end") - F.col(amount)).alias("_base"))
+    placed = ranked.join(first, "_key").withColumns({"_to": F.col("_end") - F.col("_base"), "_from": F.col("_end") - F.col("_base") - F.col(amount)})
+    block = F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor((F.col("_to") - 1) / size)))
+    cut = placed.withColumn("_block", block)
+    inside = F.least(F.col("_to"), (F.col("_block") + 1) * size) - F.greatest(F.col("_from"), F.col("_block") * size)
+    return cut.withColumn(amount, inside).drop("_end", "_base", "_from", "_to")
+
+
+def _pair_in_blocks(many: DataFrame, fields: int, size: int) -> DataFrame:
+    """Pairs of groups too large to be assigned at once; see the module.  A block holds at most ``size`` copies."""
+    run = _assign(fields)
+    moved = _in_blocks(many.withColumn("_n", F.col("_l") + F.col("_r")), ["_row"], "_n", size)
+    moved = moved.withColumns({"_l": F.when(F.col("_l") > 0, F.col("_n")).otherwise(0), "_r": F.when(F.col("_r") > 0, F.col("_n")).otherwise(0)}).drop("_n")
+    pairs = materialise(moved.groupBy("_key", "_block").applyInPandas(run, PAIRS), "blocks")
+    # what is alone on either side meets by rank
+    lone = pairs.where("_left is null or _right is null")
+    side = lambda own, l, r: _in_blocks(lone.where(f"{own} is not null").select("_key", F.col(own).alias("_row"), F.col("_copies").alias("_n")), ["_row"], "_n", size).select("_key", "_block", "_row", (F.col("_n") * l).alias("_l"), (F.col("_n") * r).alias("_r"))
+    late = side("_left", 1, 0).unionByName(side("_right", 0, 1)).groupBy("_key", "_block").applyInPandas(run, PAIRS)
+    pairs = materialise(pairs.where("_left is not null and _right is not null").unionByName(late), "pairs")
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The pairs of a block, assigned anew: their rows, at no higher cost."""
+        sides = [pdf.loc[pdf[c].notna(), [c, "_copies"]].rename(columns={c: "_row"}) for c in ("_left", "_right")]
+        return run(pd.concat([sides[0].assign(_l=sides[0]["_copies"], _r=0), sides[1].assign(_l=0, _r=sides[1]["_copies"])]).assign(_key=[pdf["_key"].iloc[0]] * sum(map(len, sides))))
+
+    dearer = F.size(F.filter(F.arrays_zip(F.col("_left").alias("l"), F.col("_right").alias("r")), lambda x: ~x["l"].eqNullSafe(x["r"])))
+    total = pairs.where("_left is not null and _right is not null").agg(F.sum(dearer * F.col("_copies")))
+    cost = total.first()[0] or 0
+    for turn in range(ROUNDS):  # orders that begin with other fields, of the left rows and the right ones by turns
+        lead = (turn // 2 + 1) * max(1, fields // (ROUNDS // 2 + 1)) % max(1, fields)
+        own, other = ("_left", "_right") if turn % 2 == 0 else ("_right", "_left")
+        turned = lambda c: F.concat(F.slice(c, lead + 1, fields), F.slice(c, 1, max(1, lead)))
+        order = F.coalesce(turned(own), turned(other))
+        cut = _in_blocks(pairs.withColumn("_order", order), ["_order", "_left", "_right"], "_copies", size).drop("_order")
+        newer = materialise(cut.groupBy("_key", "_block").applyInPandas(again, PAIRS), "pairs")
+        now = newer.where("_left is not null and _right is not null").agg(F.sum(dearer * F.col("_copies"))).first()[0] or 0
+        pairs = newer
+        if now * 1000 > cost * 999:
+            break
+        cost = now
+    return pairs
+
+
+def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], exact_limit: int = 8_192) -> DataFrame:
     """One row per difference: the key columns as strings, ``finding``, both values, ``copies``.
 
     ``finding`` is ``missing_on_right``, ``missing_on_left`` (no row of the key is

@@ -114,20 +114,21 @@ def budget_items(rows: DataFrame, max_items: int) -> DataFrame:
     )
 
 
-def running_total(rows: DataFrame, order: list[str], amount: Column, name: str, buckets: int = 64) -> DataFrame:
+def running_total(rows: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
     """A running sum over a total order without one task for all rows.
 
     Rows are cut into ranges of the order; each range is summed and only these
     sums (one per range) are accumulated, then each range runs on its own.  The
     ranges are written once: range borders come from a sample, so computing them
-    again, in another branch or after a lost executor, could move rows.
+    again, in another branch or after a lost executor, could move rows.  There are
+    as many ranges as the session has shuffle partitions.
     """
-    cut = rows.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()).withColumn("_amount", amount)
+    cut = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_amount", amount)
     parts = materialise(cut, "ranges")
     totals = parts.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
     before = totals.withColumn(
         "_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("_part", "_before")  # at most `buckets` rows
+    ).select("_part", "_before")  # one row a range
     run = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         parts.withColumn("_run", F.sum("_amount").over(run))
