@@ -235,7 +235,10 @@ def test_consolidate_keeps_every_record_once(spark):
     assert {(r[0], bytes(r[1]) if r[1] is not None else None) for r in got.select("lsn", "key_bytes").collect()} == kept
     files = done.files.collect()
     assert len(files) > 3 and sum(f["record_count"] for f in files) == len(kept)
-    assert tuples(done.sources, "segment_id") == sorted([(i,) for i in (1, 2, 3, 4, 5, 30)], key=repr)
+    held = {i: [(r[1], r[6]) for r in rows if r[10] == i] for i in (1, 2, 3, 4, 5, 30)}
+    assert tuples(done.sources) == sorted([(i, len(r), len(set(r)), len(set(r))) for i, r in held.items()], key=repr)
+    empty = [wal_row(1, b"e", value=v, seg=1) for v in (None, b"", b"")]
+    assert consolidate.consolidate(entries, wal(spark, empty)).records == 2
     hot = consolidate.consolidate(entries, wal(spark, [wal_row(7, b"same", value=b"%d" % i, seg=1) for i in range(300)]), target_bytes=2_000)
     assert hot.records == 300 and hot.files.count() > 5
     assert consolidate.consolidate(entries, wal(spark, rows).limit(0)).records == 0

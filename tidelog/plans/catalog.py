@@ -154,6 +154,8 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: capture.pending(t(s, d, "wal_records"), t(s, d, "ingest_runs")).select("lsn"),
         "p2_segments": lambda s, d: capture.segments_to_read(_live(s, d), capture.pending(t(s, d, "wal_records"), t(s, d, "ingest_runs"))),
         "p3_found": lambda s, d: consolidate.consolidated_segments(t(s, d, "segments"), t(s, d, "wal_records")),
+        "p3_sources": lambda s, d: consolidate.consolidate(t(s, d, "segments"), t(s, d, "wal_records")).sources,
+        "p3_totals": lambda s, d: consolidate.consolidated_totals(t(s, d, "segments"), t(s, d, "wal_records")),
         "p4_found": lambda s, d: diff.segment_findings(t(s, d, "segments"), t(s, d, "peer_segments")),
         "p5_found": lambda s, d: changefeed.current_keys(t(s, d, "wal_records")),
         "p5_current_values": lambda s, d: _hexed(changefeed.current_values(t(s, d, "wal_records"))),
@@ -165,6 +167,7 @@ _LOG = f"log AS (SELECT ns_bytes AS ns, key_bytes AS key, value_bytes AS value,
 _EVENTS = """log AS (SELECT 'events'::BLOB AS ns, encode(lpad(CAST(user_id AS VARCHAR), 8, '0')) AS key, encode(event_type || ':' || CAST(event_id AS VARCHAR)) AS value,
  CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, (event_id * 7919) % 1000003 AS lsn, epoch_us(ts) * 1000 AS ts_ns, (event_id % 4) * 86400 AS ttl_s,
  event_id // 7 AS txid, event_id // 500 AS seg_id, event_id FROM events)"""
+_CONTENT = ", ".join(consolidate.CONTENT)
 _LIVE_SEGMENTS = """live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY entry_no DESC, entry_type) AS rn
  FROM segments WHERE segment_id IS NOT NULL AND entry_no IS NOT NULL) WHERE rn = 1 AND entry_type = 'Add')"""
 
@@ -330,6 +333,12 @@ SELECT {_KV} FROM (SELECT * FROM hot UNION ALL SELECT * FROM cold c WHERE NOT EX
         "p2_segments": f"""WITH {_LIVE_SEGMENTS}, {pairs}, held AS (SELECT segment_id, count(*) AS may_hold FROM live JOIN pending ON lsn BETWEEN min_lsn AND max_lsn GROUP BY 1)
 SELECT segment_id, may_hold FROM held UNION ALL SELECT segment_id, NULL FROM live WHERE min_lsn IS NULL OR max_lsn IS NULL""",
         "p3_found": f"WITH {_LIVE_SEGMENTS} SELECT segment_id FROM live WHERE compressed_bytes < 16384",
+        "p3_sources": f"""WITH {_LIVE_SEGMENTS}, small AS (SELECT segment_id FROM live WHERE compressed_bytes < 16384), held AS (SELECT segment_id, {_CONTENT} FROM wal_records WHERE segment_id IN (SELECT segment_id FROM small)),
+n AS (SELECT segment_id, count(*) AS records FROM held GROUP BY 1), u AS (SELECT segment_id, count(*) AS k FROM (SELECT DISTINCT * FROM held) GROUP BY 1)
+SELECT segment_id, coalesce(records, 0) AS records, coalesce(k, 0) AS distinct_records, coalesce(k, 0) AS moved FROM small LEFT JOIN n USING (segment_id) LEFT JOIN u USING (segment_id)""",
+        "p3_totals": f"""WITH {_LIVE_SEGMENTS}, small AS (SELECT segment_id FROM live WHERE compressed_bytes < 16384), held AS (SELECT {_CONTENT} FROM wal_records WHERE segment_id IN (SELECT segment_id FROM small)),
+u AS (SELECT DISTINCT *, {_ENCODED.format(ns="coalesce(ns_bytes, ''::BLOB)", key="coalesce(key_bytes, ''::BLOB)")} AS ekey FROM held)
+SELECT (SELECT count(*) FROM small) AS segments, (SELECT count(*) FROM held) AS given, count(*) AS stored, min(lsn) AS min_lsn, max(lsn) AS max_lsn, lower(hex(min(ekey))) AS min_key, lower(hex(max(ekey))) AS max_key FROM u""",
         "p4_found": f"""WITH {_LIVE_SEGMENTS}, a AS (SELECT DISTINCT segment_id, {plain} FROM live), b AS (SELECT DISTINCT segment_id, {plain} FROM peer_segments WHERE segment_id IS NOT NULL)
 SELECT segment_id, 'missing_on_peer' AS finding FROM a ANTI JOIN b USING (segment_id) UNION ALL SELECT DISTINCT segment_id, 'missing_on_primary' FROM b ANTI JOIN a USING (segment_id)
 UNION ALL {differ}""",
