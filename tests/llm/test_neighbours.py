@@ -65,6 +65,36 @@ def test_copies_and_ties(spark):
     assert len(got) == 31 * 3
 
 
+def test_a_hot_vector_is_expanded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 7)
+    data = spark.createDataFrame(rows(np.repeat(np.eye(4)[:1], 60, 0), "a", "F32") + rows(np.eye(4)[1:3] + 0.1, "a", "F32", 100), SCHEMA)
+    got = tuples(N.most_similar(data, 2), "vector_id", "neighbour")
+    assert got == sorted([(i, j) for i in range(60) for j in [x for x in range(3) if x != i][:2]] + [(i, j) for i in (100, 101) for j in ((101, 0) if i == 100 else (100, 0))], key=repr)
+
+
+def test_descent_reaches_what_a_scan_of_all_regions_does():
+    rng = np.random.default_rng(2)
+    sample = rng.normal(size=(4_000, N.PROJECTED)).astype(np.float32)
+    tree = N.Tree.fit(sample, 6)
+    own = tree.place(sample)
+    assert np.bincount(own, minlength=64).min() > 50
+    low, high = np.full((64, N.PROJECTED), -np.inf), np.full((64, N.PROJECTED), np.inf)
+    for region in range(64):
+        node = region + 64
+        while node > 1:
+            up, axis = node // 2, tree.axes[node // 2]
+            if node % 2:
+                low[region, axis] = max(low[region, axis], tree.cuts[up])
+            else:
+                high[region, axis] = min(high[region, axis], tree.cuts[up])
+            node = up
+    rows_, radius, most = sample[:200], rng.uniform(0, 3, 200), rng.uniform(0, 2, 64)
+    gaps = (np.maximum(np.maximum(low - rows_[:, None], rows_[:, None] - high), 0) ** 2).sum(2)
+    far = np.maximum(radius[:, None], most[None, :])
+    got = set(zip(*map(np.ndarray.tolist, tree.reach(rows_, radius, most))))
+    assert {(int(i), int(j)) for i, j in zip(*np.nonzero(gaps <= far - 1e-4))} <= got <= {(int(i), int(j)) for i, j in zip(*np.nonzero(gaps <= far + 1e-4))}
+
+
 def test_empty(nodes):
     assert N.similar_pairs(nodes.limit(0)).count() == 0
 

@@ -72,6 +72,33 @@ def test_ngrams_and_marks(collection):
     assert tuples(terms.useless_terms(postings, sizes)) == sorted(bad, key=repr)
 
 
+@pytest.mark.parametrize("chunk", [2, 8])
+def test_repeated_ngrams_have_no_cut(spark, chunk):
+    rnd = random.Random(4)
+    passage = [f"p{i}" for i in range(23)]
+    texts = {("n", d): [rnd.choice("abc") for _ in range(rnd.randint(1, 9))] for d in range(12)}
+    texts["n", 20], texts["n", 21], texts["n", 22] = ["x", *passage, "a"], [*passage, "y", *passage[:9]], ["a"] * 30
+    texts["m", 1] = passage
+    rows = []
+    for (ns, d), words in texts.items():
+        where = defaultdict(list)
+        for i, w in enumerate(words):
+            where[w].append(3 * i)
+        rows += [(ns, w, d, len(at), len(words), 1, None, at, "") for w, at in where.items()]
+    tf, docs = Counter(), defaultdict(set)
+    for (ns, d), words in texts.items():
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                g = (ns, tuple(words[i:j]))
+                tf[g] += 1
+                docs[g].add(d)
+    longer = {(ns, g[:-1]) for (ns, g), k in tf.items() if len(g) > 1 and tf[ns, g[:-1]] == k}
+    want = sorted(((ns, len(g), "".join(f"{w} " for w in g), k, len(docs[ns, g])) for (ns, g), k in tf.items() if k > 1 and (ns, g) not in longer), key=repr)
+    got = terms.repeated_ngrams(spark.createDataFrame(rows, POSTINGS), chunk)
+    assert sorted(((r["ns"], r["n"], "".join(f"{w} " for w in r["gram"]), r["total_tf"], r["df"]) for r in got.collect()), key=repr) == want
+    assert terms.repeated_ngrams(spark.createDataFrame([], POSTINGS)).count() == 0
+
+
 def test_empty_and_unknown(collection, spark):
     postings, sizes, _ = collection
     assert terms.distinctive_terms(postings.limit(0), sizes).count() == 0

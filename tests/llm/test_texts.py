@@ -83,7 +83,7 @@ def test_contaminated_against_brute_force(corpus):
 
 def test_whole_items_within_budget_are_all_found(corpus, monkeypatch):
     docs, items, texts, raw = corpus
-    monkeypatch.setattr(C, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(C, "BLOCK_CHARS", 1_000)
     got = {(r["doc_id"], r["item_id"]): r for r in C.leaked_items(docs, items).collect()}
     for d, text, _ in texts:
         if d == 902:

@@ -22,11 +22,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_log_entropy": lambda s, d: _rounded(
             terms.log_entropy(t(s, d, "postings"), t(s, d, "text_indexes")).select("ns", "doc_id", "term", "tf", "df", "gf", "entropy", "global_weight", "weight")
         ),
+        "p1_top_terms": lambda s, d: terms.top_terms(t(s, d, "postings"), t(s, d, "text_indexes")),
         "p6_found": lambda s, d: neighbours.similar_pairs(t(s, d, "hnsw_nodes")),
         "p6_most_similar": lambda s, d: neighbours.most_similar(t(s, d, "hnsw_nodes")),
         "p7_found": lambda s, d: terms.useless_terms(t(s, d, "postings"), t(s, d, "text_indexes")),
         "p7_frequencies": lambda s, d: terms.marked_frequencies(t(s, d, "postings"), t(s, d, "text_indexes")),
         "p7_ngrams": lambda s, d: terms.ngram_frequencies(t(s, d, "postings"), 3),
+        "p7_repeated": lambda s, d: terms.repeated_ngrams(t(s, d, "postings")).select("ns", "n", F.array_join("gram", "\u001f").alias("gram"), "total_tf", "df"),
         "p8_found": lambda s, d: contamination.contaminated(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_leaked_items": lambda s, d: contamination.leaked_items(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_mix": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
@@ -60,6 +62,11 @@ global AS (SELECT *, CASE WHEN total_docs > 1 THEN greatest(0.0, least(1.0, 1 -
 SELECT ns, doc_id, term, tf, df, gf, round(entropy, 6) + 0.0 AS entropy, round(global_weight, 6) + 0.0 AS global_weight,
        round(ln(1.0 + tf) * global_weight, 6) + 0.0 AS weight
 FROM cur JOIN global USING (ns, term)""",
+        "p1_top_terms": f"""WITH {_CURRENT},
+weighted AS (SELECT ns, term, total_docs, greatest(0.0, CASE WHEN gf > 0 THEN ln(gf) - tlt / gf ELSE 0.0 END) AS entropy FROM spread LEFT JOIN sizes USING (ns)),
+global AS (SELECT *, CASE WHEN total_docs > 1 THEN greatest(0.0, least(1.0, 1 - entropy / ln(total_docs))) WHEN total_docs = 1 THEN 0.0 END AS global_weight FROM weighted),
+rows_ AS (SELECT ns, doc_id, term, round(ln(1.0 + tf) * global_weight, 6) + 0.0 AS weight FROM cur JOIN global USING (ns, term))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ns, doc_id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM rows_ WHERE weight IS NOT NULL) WHERE rank <= 5""",
         "p7_found": f"""WITH {_CURRENT}
 SELECT ns, term FROM spread LEFT JOIN sizes USING (ns) WHERE gf < 3 OR df * 100 > total_docs * 30""",
         "p7_frequencies": f"""WITH {_CURRENT}

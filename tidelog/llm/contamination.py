@@ -1,14 +1,17 @@
 """Held-out test passages inside a corpus, by pigeonhole pieces and bit-parallel edit distance.
 
-Each item is split into as many pieces of five words as fit.  A copy of the item
-with fewer errors than pieces keeps at least one piece whole, and so does every
-run of ten words, since it spans a whole piece; exact piece hits are therefore
-all the candidates there are.  A hit is verified by the word edit distance of
-the item against the text around it (Myers' bit-parallel recurrence, on integers
-of any length) and by the longest run of words both share there.
-
-The items are the stated query set: they go to the tasks in blocks of bounded
-size, the corpus is read once a block and never shuffled.
+Each item is split into pieces of five words, as many as fit.  With an error budget
+of one less than its pieces, a copy of the whole item keeps at least one piece
+whole; so does every passage of ten of its words in a row, which spans a whole
+piece.  Exact piece hits are therefore all the candidates there are.  Each is
+verified by Myers' bit-parallel word distance (on integers of any length): of the
+longest passage around the hits, which must be found in the text without an error,
+and of the whole item against the text around the hits.
+
+The items are the stated query set: they go to the executors as one index of
+sorted arrays, broadcast, in blocks only beyond ``BLOCK_CHARS`` characters of items
+(an index has about as many bytes); the corpus is read once a block and never
+shuffled.
 
 Defined cases: null and empty texts hold nothing; items without words are never
 found, items of fewer words than a piece are one piece; copies of items and
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from tidelog.session import spread
 
 PIECE = 5
-#: Items sent to the tasks at a time, and most characters of a block.
-BLOCK_ITEMS, BLOCK_CHARS = 10_000, 16_000_000
+#: Most characters of items in one index.
+BLOCK_CHARS = 64_000_000
 #: Characters handled together.
 PORTION = 200_000
 
@@ -135,25 +138,32 @@ def myers_distance(pattern: list[int], text: list[int]) -> int:
 
 
 class PieceIndex:
-    """Pieces of a block of items by hash, with what verification needs.  Words are numbers; 0 is a word no item has."""
+    """Pieces of items by hash, with what verification needs, as arrays.  Words are numbers; 0 is a word no item has."""
 
     def __init__(self, items: list[tuple[int, str]]):
         hashed, number = hashed_words([t for _, t in items])
         self.vocabulary = np.unique(hashed)
-        ids = self.numbers(hashed)
-        bounds = np.searchsorted(number, np.arange(len(items) + 1))
+        self.words = self.numbers(hashed)
+        self.ids = np.array([i for i, _ in items], dtype=np.int64)
+        self.bounds = np.searchsorted(number, np.arange(len(items) + 1))
         self.powers = np.random.default_rng(20_240_601).integers(1, 2**63, PIECE, dtype=np.uint64) | np.uint64(1)
-        self.items: list[tuple[int, np.ndarray]] = []
-        self.found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for (item_id, _), begin, end in zip(items, bounds, bounds[1:]):
-            item = ids[begin:end]
-            if not len(item):
+        sizes = np.diff(self.bounds)
+        #: By width of a piece: sorted hashes, and the item and offset of each.
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in range(1, PIECE + 1):
+            hashes = self.hashes(self.words, width)
+            which = np.flatnonzero(sizes == width if width < PIECE else sizes >= PIECE)
+            if not len(which):
                 continue
-            n, width = len(self.items), min(PIECE, len(item))
-            self.items.append((item_id, item))
-            for at in range(0, len(item) - width + 1, width):
-                self.found.setdefault((width, int(self.hashes(item[at : at + width], width)[0])), []).append((n, at))
-        self.keys = {w: np.array(sorted(h for v, h in self.found if v == w), dtype=np.uint64) for w in {w for w, _ in self.found}}
+            many = sizes[which] // width
+            n = np.repeat(which, many)
+            offset = (np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many)) * width
+            keys = hashes[self.bounds[n] + offset]
+            order = np.argsort(keys, kind="stable")
+            self.pieces[width] = keys[order], n[order], offset[order]
+
+    def item(self, n: int) -> np.ndarray:
+        return self.words[self.bounds[n] : self.bounds[n + 1]]
 
     def numbers(self, hashed: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -170,26 +180,31 @@ class PieceIndex:
 
     def hits(self, ids: np.ndarray, number: np.ndarray):
         """(position, item number, offset) of every whole piece within one text."""
-        for width, keys in sorted(self.keys.items()):
+        for width, (keys, items, offsets) in sorted(self.pieces.items()):
             hashed = self.hashes(ids, width)
             if not len(hashed):
                 continue
             at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
-            for p in np.flatnonzero((keys[at] == hashed) & (number[: len(hashed)] == number[width - 1 :])):
-                for n, offset in self.found[width, int(hashed[p])]:
-                    if np.array_equal(ids[p : p + width], self.items[n][1][offset : offset + width]):
-                        yield int(p), n, offset
+            found = np.flatnonzero((keys[at] == hashed) & (number[: len(hashed)] == number[width - 1 :]))
+            ends = np.searchsorted(keys, hashed[found], side="right")
+            for p, first, end in zip(found.tolist(), at[found].tolist(), ends.tolist()):
+                for i in range(first, end):
+                    begin = self.bounds[items[i]] + offsets[i]
+                    if np.array_equal(ids[p : p + width], self.words[begin : begin + width]):
+                        yield p, int(items[i]), int(offsets[i])
 
 
-def longest_run(item: np.ndarray, text: np.ndarray, diagonal: int) -> int:
-    """Longest run of equal words where ``text[diagonal + i]`` stands against ``item[i]``."""
+def longest_run(item: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int]:
+    """Length and start in ``item`` of the longest run of equal words where ``text[diagonal + i]`` stands against ``item[i]``."""
     lo, hi = max(0, -diagonal), min(len(item), len(text) - diagonal)
     if hi <= lo:
-        return 0
-    best = last = 0
-    for at in np.flatnonzero(item[lo:hi] != text[diagonal + lo : diagonal + hi]).tolist():
-        best, last = max(best, at - last), at + 1
-    return max(best, hi - lo - last)
+        return 0, 0
+    best, start, last = 0, lo, 0
+    for at in [*np.flatnonzero(item[lo:hi] != text[diagonal + lo : diagonal + hi]).tolist(), hi - lo]:
+        if at - last > best:
+            best, start = at - last, lo + last
+        last = at + 1
+    return best, start
 
 
 def _portions(ids: list[int], texts):
@@ -210,23 +225,23 @@ def _portions(ids: list[int], texts):
             yield part
 
 
-def _search(index: PieceIndex, least_run: int):
+def _search(shared, least_run: int):
     def run(batches):
+        index = shared.value
+        seen = np.zeros(len(index.vocabulary) + 1, dtype=bool)
         for pdf in batches:
             for ids, texts in _portions(pdf["doc_id"].tolist(), pdf["text"]):
-                out = search(ids, texts)
+                out = search(index, seen, ids, texts)
                 if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "pieces", "longest_run", "distance", "item_words", "whole"])
-
-    seen = np.zeros(len(index.vocabulary) + 1, dtype=bool)
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "pieces", "longest_run", "passage", "passage_errors", "distance", "item_words", "whole"])
 
-    def absent(item, stretch):
+    def absent(seen, item, stretch):
         seen[stretch] = True
         n = len(item) - int(np.count_nonzero(seen[item]))
         seen[stretch] = False
         return n
 
-    def search(ids, texts):
+    def search(index, seen, ids, texts):
         out = []
         hashed, number = hashed_words(texts)
         flat = index.numbers(hashed)
@@ -236,38 +251,45 @@ def _search(index: PieceIndex, least_run: int):
             by.setdefault((int(number[p]), n), []).append((p, offset))
         for (d, n), places in by.items():
             begin, end = int(bounds[d]), int(bounds[d + 1])
-            text, (item_id, item) = flat[begin:end], index.items[n]
+            text, item = flat[begin:end], index.item(n)
             m = len(item)
             budget = max(1, m // PIECE) - 1
-            diagonals = {p - begin - offset for p, offset in places}
-            run_ = max(longest_run(item, text, g) for g in diagonals)
-            distance, stretches = m, []
-            for g in sorted(diagonals):  # texts around the hits; what overlaps is one stretch
+            diagonals = sorted({p - begin - offset for p, offset in places})
+            run_, start, at = max((*longest_run(item, text, g), -g) for g in diagonals)
+            stretches: list[list[int]] = []
+            for g in diagonals:  # texts around the hits; what overlaps is one stretch
                 lo, hi = max(0, g - budget), min(len(text), g + m + budget)
                 if stretches and lo <= stretches[-1][1]:
                     stretches[-1][1] = max(hi, stretches[-1][1])
                 else:
                     stretches.append([lo, hi])
+            # the passage: the longest run, made up to the least length where it is shorter
+            length = min(m, max(run_, least_run))
+            first = max(0, min(start, m - length))
+            passage = item[first : first + length]
             # an item word that is nowhere in the stretch costs an edit: most chance hits end here
-            if run_ < least_run and all(absent(item, text[lo:hi]) > budget for lo, hi in stretches):
+            short = run_ < least_run or length < least_run
+            if short and all(absent(seen, item, text[lo:hi]) > budget for lo, hi in stretches):
                 continue
-            pattern = item.tolist()
+            around = text[max(0, first - at - length) : first - at + 2 * length]
+            errors = myers_distance(passage.tolist(), around.tolist())
+            pattern, distance = item.tolist(), m
             for lo, hi in stretches:
                 distance = min(distance, myers_distance(pattern, text[lo:hi].tolist()))
-            if run_ >= least_run or distance <= budget:
-                out.append((ids[d], item_id, len(places), run_, distance, m, distance <= budget))
+            if (length >= least_run and errors == 0) or distance <= budget:
+                out.append((ids[d], int(index.ids[n]), len(places), run_, length, errors, distance, m, distance <= budget))
         return out
 
     return run
 
 
 def _blocks(items: DataFrame):
-    """The items in blocks of bounded count and size."""
+    """The items in blocks of bounded size."""
     block, chars = [], 0
     for row in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
         block.append((row[0], fold(row[1])))
         chars += len(row[1])
-        if len(block) >= BLOCK_ITEMS or chars >= BLOCK_CHARS:
+        if chars >= BLOCK_CHARS:
             yield block
             block, chars = [], 0
     if block:
@@ -277,20 +299,23 @@ def _blocks(items: DataFrame):
 def leaked_items(documents: DataFrame, items: DataFrame, least_run: int = 10) -> DataFrame:
     """``doc_id``, ``item_id`` and evidence of every document holding an item in whole or in part.
 
-    ``pieces``: exact piece hits; ``longest_run``: most consecutive words shared;
-    ``distance``: least word edits from the item to a stretch of the text;
-    ``whole``: these are within the item's error budget.  A pair is reported if
-    whole, or if the run has at least ``least_run`` words.
+    ``pieces``: exact piece hits; ``longest_run``: most words in a row both share at
+    the hits; ``passage``: words of the passage verified (that run, made up to
+    ``least_run`` where the item has so many), and ``passage_errors``, its word edits
+    from the text; ``distance``: least word edits from the whole item to a stretch
+    of the text; ``whole``: these are within the item's error budget.  A pair is
+    reported if a passage of ``least_run`` words has no error, or the item is whole.
     """
-    schema = "doc_id bigint, item_id bigint, pieces int, longest_run int, distance int, item_words int, whole boolean"
+    schema = "doc_id bigint, item_id bigint, pieces int, longest_run int, passage int, passage_errors int, distance int, item_words int, whole boolean"
     corpus = spread(documents.where("text is not null").select("doc_id", "text"))
     result = None
     for block in _blocks(items):
-        part = corpus.mapInPandas(_search(PieceIndex(block), least_run), schema)
+        shared = documents.sparkSession.sparkContext.broadcast(PieceIndex(block))  # at most about BLOCK_CHARS bytes
+        part = corpus.mapInPandas(_search(shared, least_run), schema)
         result = part if result is None else result.unionByName(part)
     return result if result is not None else documents.sparkSession.createDataFrame([], schema)
 
 
 def contaminated(documents: DataFrame, items: DataFrame, least_run: int = 10) -> DataFrame:
-    """``doc_id``, ``item_id`` where a verified hit shares at least ``least_run`` consecutive words."""
-    return leaked_items(documents, items, least_run).where(F.col("longest_run") >= least_run).select("doc_id", "item_id")
+    """``doc_id``, ``item_id`` of the pairs of which a passage of at least ``least_run`` words was verified without an error."""
+    return leaked_items(documents, items, least_run).where((F.col("passage") >= least_run) & (F.col("passage_errors") == 0)).select("doc_id", "item_id")

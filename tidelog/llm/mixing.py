@@ -20,6 +20,7 @@ shares and repeats count as 0 and 1; spelling of sources (case, outer spaces,
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 
 import numpy as np
@@ -38,15 +39,15 @@ BLOCK = 50_000
 _ENCODINGS: dict = {}
 
 
-def _encoding(vocabulary: str):
-    """The tokenizer, once a process."""
-    if vocabulary not in _ENCODINGS:
+def _encoding(ranks: bytes):
+    """The tokenizer of a vocabulary file's content, once a process."""
+    key = hashlib.sha256(ranks).hexdigest()
+    if key not in _ENCODINGS:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODINGS[vocabulary] = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[vocabulary]
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _ENCODINGS[key] = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    return _ENCODINGS[key]
 
 
 def source_name(source: Column) -> Column:
@@ -54,10 +55,16 @@ def source_name(source: Column) -> Column:
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id``, ``source_name``, ``tokens`` of the whole text."""
+    """``doc_id``, ``source_name``, ``tokens`` of the whole text.
+
+    The vocabulary is read by the driver and broadcast (it is a file of about a
+    megabyte), so that only the driver needs the path.
+    """
+    with open(vocabulary, "rb") as lines:
+        ranks = documents.sparkSession.sparkContext.broadcast(lines.read())
 
     def count(batches):
-        encoding = _encoding(vocabulary)
+        encoding = _encoding(ranks.value)
         for pdf in batches:
             tokens = np.fromiter((len(encoding.encode_ordinary(t)) for t in pdf["text"]), dtype=np.int64, count=len(pdf))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source_name": pdf["source_name"], "tokens": tokens})

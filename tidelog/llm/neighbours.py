@@ -9,11 +9,15 @@ projections serves leaves nearest first, projected neighbours in them are
 verified with the whole vectors, and d_k shrinks on the way.
 
 Distribution: a collection (namespace and length) of more than ``BLOCK_ROWS``
-vectors is cut into blocks by a kd-tree fitted on a bounded sample; every vector
-is assigned.  A task searches one pair of blocks, and a vector travels only to
-blocks whose region passes the stopping test.  A block that is still too large
-is split by a hash.  Exact copies are searched once and expanded afterwards, so a
-hot vector with a third of all rows is one row of the search.
+vectors is cut into blocks by a kd-tree fitted, in a task of its own, on a bounded
+sample; every vector is assigned.  A task searches one pair of blocks.  To which
+blocks a vector travels is found by descending the tree, leaving out every
+branch that fails the stopping test, so that the work follows the blocks reached
+and not all there are; ``fan_out`` reports how many they were.  A block that is
+still too large is split by a hash.  Exact copies are searched once and expanded
+afterwards, in salted parts, so a hot vector with a third of all rows is one row of
+the search and many tasks of the expansion.  The driver holds the trees: one cut
+for every ``BLOCK_ROWS`` vectors.
 
 Defined cases: rows without id, namespace, length or type, of other lengths than
 stated, with a value that isn't finite or with zeros only are no vectors; a
@@ -39,8 +43,10 @@ PROJECTED, CONFIDENCE = 12, 0.99
 BLOCK_ROWS, LEAF_ROWS, LEAVES_AT_ONCE = 16_384, 256, 8
 #: One in so many candidates among the projections is where verifying whole leaves is cheaper.
 DENSE = 20
-#: Sampled projections for the borders of all blocks together; at least 256 a collection that needs any.
+#: Sampled projections a collection's tree is fitted on.
 SAMPLED = 262_144
+#: Copies of one vector that a task expands, and vectors sent on together.
+COPIES, SENT_AT_ONCE = 50_000, 10_000
 SEED = 7_919
 ELEMENTS = {"F32": "<f4", "F16": "<f2", "I8": "i1"}
 
@@ -105,23 +111,22 @@ def usable_vectors(nodes: DataFrame) -> DataFrame:
 class Tree:
     """kd-tree over sampled projections: ``2 ** depth`` regions."""
 
-    def __init__(self, sample: np.ndarray, depth: int):
-        self.depth = depth
-        self.axes, self.cuts = np.zeros(1 << depth, dtype=int), np.zeros(1 << depth, dtype=np.float32)
-        low, high = np.full((1 << depth, sample.shape[1]), -np.inf, np.float32), np.full((1 << depth, sample.shape[1]), np.inf, np.float32)
-        stack = [(1, sample, low[0].copy(), high[0].copy())]
+    def __init__(self, axes: np.ndarray, cuts: np.ndarray):
+        self.axes, self.cuts, self.depth = axes, cuts, len(axes).bit_length() - 1
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, depth: int) -> Tree:
+        axes, cuts = np.zeros(1 << depth, dtype=np.int32), np.zeros(1 << depth, dtype=np.float32)
+        stack = [(1, sample)]
         while stack:
-            node, rows, lo, hi = stack.pop()
+            node, rows = stack.pop()
             if node >= 1 << depth:
-                low[node - (1 << depth)], high[node - (1 << depth)] = lo, hi
                 continue
             axis = int(np.argmax(rows.max(0) - rows.min(0))) if len(rows) else 0
             cut = np.float32(np.median(rows[:, axis])) if len(rows) else np.float32(0)
-            self.axes[node], self.cuts[node] = axis, cut
-            left, right = hi.copy(), lo.copy()
-            left[axis] = right[axis] = cut
-            stack += [(2 * node, rows[rows[:, axis] < cut], lo, left), (2 * node + 1, rows[rows[:, axis] >= cut], right, hi)]
-        self.low, self.high = low, high
+            axes[node], cuts[node] = axis, cut
+            stack += [(2 * node, rows[rows[:, axis] < cut]), (2 * node + 1, rows[rows[:, axis] >= cut])]
+        return cls(axes, cuts)
 
     def place(self, proj: np.ndarray) -> np.ndarray:
         node = np.ones(len(proj), dtype=np.int64)
@@ -129,12 +134,41 @@ class Tree:
             node = 2 * node + (proj[np.arange(len(proj)), self.axes[node]] >= self.cuts[node])
         return node - (1 << self.depth)
 
-    def square_gaps(self, proj: np.ndarray) -> np.ndarray:
-        """Squared projected distance of each row to each region."""
-        out = np.empty((len(proj), len(self.low)), dtype=np.float32)
-        for j, (lo, hi) in enumerate(zip(self.low, self.high)):
-            out[:, j] = (np.maximum(np.maximum(lo - proj, proj - hi), 0) ** 2).sum(1)
-        return out
+    def reach(self, proj: np.ndarray, radius: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, region) wherever the squared distance to the region is within the row's radius or the region's ``most``.
+
+        A descent from the root: the squared distance is kept up axis by axis, and
+        a branch goes as soon as it is beyond both the row's radius and the largest
+        radius below the branch.
+        """
+        widest = np.empty(2 << self.depth)
+        widest[1 << self.depth :] = most
+        for node in range((1 << self.depth) - 1, 0, -1):
+            widest[node] = max(widest[2 * node], widest[2 * node + 1])
+        found = []
+        stack = [(1, np.arange(len(proj)), np.zeros((len(proj), proj.shape[1]), np.float32), np.zeros(len(proj)))]
+        while stack:
+            node, rows, gaps, total = stack.pop()
+            near = total <= np.maximum(radius[rows], widest[node])
+            if not near.all():
+                rows, gaps, total = rows[near], gaps[near], total[near]
+            if not len(rows):
+                continue
+            if node >= 1 << self.depth:
+                found.append((rows, np.full(len(rows), node - (1 << self.depth))))
+                continue
+            axis, beyond = self.axes[node], proj[rows, self.axes[node]] - self.cuts[node]
+            for child, gap in ((2 * node, np.maximum(beyond, 0)), (2 * node + 1, np.maximum(-beyond, 0))):
+                farther = gap > gaps[:, axis]
+                if farther.any():
+                    moved = gaps.copy()
+                    moved[:, axis] = np.where(farther, gap, gaps[:, axis])
+                    stack.append((child, rows, moved, total + np.where(farther, gap.astype(float) ** 2 - gaps[:, axis].astype(float) ** 2, 0)))
+                else:
+                    stack.append((child, rows, gaps, total))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _rows(binary: pd.Series, columns: int) -> np.ndarray:
@@ -276,6 +310,21 @@ def _best(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def _fit_trees(reps: DataFrame, block_rows: int) -> dict[tuple[str, int], Tree]:
+    """Trees of the collections that need more than one block, each fitted by one task on at most about ``SAMPLED`` projections."""
+    large = reps.groupBy("ns", "dims").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
+    chance = F.pmod(F.xxhash64(F.col("vector_id"), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    sampled = reps.select("ns", "dims", "proj", chance.alias("_chance")).join(large, ["ns", "dims"]).where(F.col("_chance") < F.lit(float(SAMPLED)) / F.col("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        depth = max(1, math.ceil(math.log2(int(pdf["n"].iat[0]) / block_rows)))
+        tree = Tree.fit(_rows(pdf["proj"], PROJECTED), depth)
+        return pd.DataFrame({"ns": [pdf["ns"].iat[0]], "dims": [int(pdf["dims"].iat[0])], "axes": [tree.axes.tobytes()], "cuts": [tree.cuts.tobytes()]})
+
+    fitted = sampled.drop("_chance").groupBy("ns", "dims").applyInPandas(fit, "ns string, dims int, axes binary, cuts binary")
+    return {(r[0], r[1]): Tree(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in fitted.collect()}
+
+
 def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``ns``, ``dims``, ``vector_id``, ``neighbour``, ``similarity``, ``rank``: the ``k`` most similar by cosine.
 
@@ -283,6 +332,18 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
     cheap: its distance is every vector's first bound.  Without it each block is
     searched by itself first, which gives the bounds for the rest.
     """
+    return _search_all(nodes, k, least, block_rows)[0]
+
+
+def fan_out(nodes: DataFrame, k: int = 10, least: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row a collection: its vectors (copies once), blocks, and how often a vector was sent to a pair of blocks."""
+    placed, sent = _search_all(nodes, k, least, block_rows)[1:]
+    size = placed.groupBy("ns", "dims").agg(F.count("*").alias("vectors"), F.count_distinct("_block").alias("blocks"))
+    return size.join(sent.groupBy("ns", "dims").agg(F.count("*").alias("sent")), ["ns", "dims"])
+
+
+def _search_all(nodes: DataFrame, k: int, least: float | None, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The neighbours, the placed vectors, and these as sent to pairs of blocks."""
     spark = nodes.sparkSession
     quantile = chi_square_quantile(CONFIDENCE, PROJECTED)
     radius = 2 - 2 * least if least is not None else 4.0
@@ -290,19 +351,10 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
     # exact copies, told by a hash of the vector: one of them searches
     narrow = vectors.select("ns", "dims", "vector_id", F.sha2("unit", 256).alias("same"))
     groups = narrow.groupBy("ns", "dims", "same").agg(F.min("vector_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    copied = materialise(narrow.join(groups.drop("n"), ["ns", "dims", "same"]).drop("same"), "copies")
+    copied = materialise(narrow.join(groups, ["ns", "dims", "same"]).drop("same"), "copies")
     reps = vectors.join(copied.where("vector_id <> rep").select("vector_id"), "vector_id", "left_anti")
-    counts = {(r[0], r[1]): r[2] for r in reps.groupBy("ns", "dims").agg(F.count("*")).where(F.col("count(1)") > block_rows).collect()}
-    trees: dict[tuple[str, int], Tree] = {}
+    trees = _fit_trees(reps, block_rows)
     split: dict[tuple[str, int, int], int] = {}
-    if counts:
-        each = max(256, SAMPLED // len(counts))
-        shares = spark.createDataFrame([(n, d, each / c) for (n, d), c in counts.items()], "ns string, dims int, share double")
-        chance = F.pmod(F.xxhash64(F.col("vector_id"), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-        sampled = reps.join(F.broadcast(shares), ["ns", "dims"]).where(chance < F.col("share")).select("ns", "dims", "proj").toPandas()  # about SAMPLED rows
-        for key, group in sampled.groupby(["ns", "dims"]):
-            key = (key[0], int(key[1]))
-            trees[key] = Tree(_rows(group["proj"], PROJECTED), max(1, math.ceil(math.log2(counts[key] / block_rows))))
 
     def place(batches):
         for pdf in batches:
@@ -316,7 +368,7 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
 
     placed = reps.select("vector_id", "ns", "dims", "unit", "proj").mapInPandas(place, "vector_id bigint, ns string, dims int, unit binary, proj binary, _block int")
     if trees:
-        sizes = placed.groupBy("ns", "dims", "_block").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block_rows).collect()
+        sizes = placed.groupBy("ns", "dims", "_block").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block_rows).collect()  # over-full blocks only
         split = {(r[0], r[1], r[2]): -(-r[3] // block_rows) for r in sizes}
     widest = max([1, *split.values()])
     placed = placed.withColumn("_bound", F.lit(radius))
@@ -335,19 +387,26 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
                     if tree is None:
                         yield typed(group.assign(ns=[key[0]] * len(group), _a=0, _b=0))
                         continue
+                    regions = 1 << tree.depth
                     region = group["_block"].to_numpy()
-                    number = group["vector_id"].to_numpy() % widest
-                    parts = np.array([split.get((*key, int(r)), 1) for r in range(len(tree.low))])
-                    own = region * widest + number % parts[region]
-                    most = bounds.get(key, {})
-                    limit = np.maximum(group["_bound"].to_numpy()[:, None], np.array([most.get(r, radius) for r in range(len(tree.low))])[None, :])
-                    reach = tree.square_gaps(_rows(group["proj"], PROJECTED)) <= quantile * limit
-                    row, other = np.nonzero(reach)
+                    parts = np.ones(regions, dtype=np.int64)
+                    for (ns, dims, r), n in split.items():
+                        if (ns, dims) == key:
+                            parts[r] = n
+                    own = region * widest + group["vector_id"].to_numpy() % parts[region]
+                    most = np.full(regions, quantile * radius)
+                    if key in bounds:
+                        most[:] = 0
+                        most[bounds[key][0]] = quantile * bounds[key][1]
+                    row, other = tree.reach(_rows(group["proj"], PROJECTED), quantile * group["_bound"].to_numpy(), most)
                     fan = parts[other]
                     row, sub = np.repeat(row, fan), np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
                     block = np.repeat(other, fan) * widest + sub
-                    rows = group.iloc[row]
-                    yield typed(rows.assign(ns=[key[0]] * len(rows), _block=own[row], _a=np.minimum(own[row], block), _b=np.maximum(own[row], block)))
+                    for at in range(0, len(row), SENT_AT_ONCE):
+                        part = slice(at, at + SENT_AT_ONCE)
+                        rows = group.iloc[row[part]]
+                        mine = own[row[part]]
+                        yield typed(rows.assign(ns=[key[0]] * len(rows), _block=mine, _a=np.minimum(mine, block[part]), _b=np.maximum(mine, block[part])))
 
         return run
 
@@ -355,7 +414,7 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
     found = "ns string, dims int, vector_id bigint, neighbour bigint, similarity double"
     search = _search_pairs(k, quantile)
     keys = ["ns", "dims", "_a", "_b"]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, sum((1 << t.depth) * ((1 << t.depth) + 1) // 2 for t in trees.values())))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(8 << t.depth for t in trees.values()))
     limits: dict = {}
     if trees and least is None:
         alone = placed.repartition(tasks, "ns", "dims", "_block").withColumn("_a", F.col("_block")).withColumn("_b", F.col("_block"))
@@ -363,21 +422,30 @@ def most_similar(nodes: DataFrame, k: int = 10, least: float | None = None, bloc
         reached = first.where(F.col("rank") == k).select("vector_id", "ns", (2 - 2 * F.col("similarity") + 1e-6).alias("_reached"))
         placed = materialise(placed.join(reached, ["vector_id", "ns"], "left").withColumn("_bound", F.coalesce("_reached", F.lit(radius))).drop("_reached"), "bounds")
         placed = placed.select("vector_id", "ns", "dims", "unit", "proj", "_block", "_bound")
-        for ns, dims, block, most in placed.groupBy("ns", "dims", "_block").agg(F.max("_bound")).collect():  # one row a block
-            limits.setdefault((ns, dims), {})[block] = most
+        blocks: dict = {}
+        for ns, dims, block, most in placed.groupBy("ns", "dims", "_block").agg(F.max("_bound")).collect():  # one row a block, like the trees
+            blocks.setdefault((ns, dims), []).append((block, most))
+        limits = {key: (np.array([b for b, _ in rows]), np.array([m for _, m in rows])) for key, rows in blocks.items()}
     sent = placed.mapInPandas(travel(limits), schema)
     pairs = sent.repartition(tasks, *keys).groupBy(*keys).applyInPandas(search, found)
     among = _best(pairs, ["ns", "dims", "vector_id"], k).drop("rank")
     # back from representatives to vectors: the k + 1 lowest ids of a group can be anyone's neighbours
     by_id = Window.partitionBy("rep").orderBy("vector_id")
     lowest = copied.withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= k + 1)
-    lists = lowest.groupBy("ns", "dims", "rep").agg(F.collect_list("vector_id").alias("ids"))
+    lists = lowest.groupBy("ns", "dims", "rep").agg(F.collect_list("vector_id").alias("ids"), F.max("n").alias("n"))
     seen = among.withColumnRenamed("vector_id", "rep").join(lists.select(F.col("rep").alias("neighbour"), "ids"), "neighbour", "left")
     seen = seen.select("ns", "dims", "rep", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"), "similarity")
     itself = lists.select("ns", "dims", "rep", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("similarity"))
-    per_rep = _best(seen.unionByName(itself), ["rep"], k + 1).drop("rank")
-    mine = per_rep.join(copied.select("rep", F.col("vector_id").alias("_member")), "rep", "left").withColumn("vector_id", F.coalesce("_member", "rep"))
-    return _best(mine.where("vector_id <> neighbour"), ["ns", "dims", "vector_id"], k).select("ns", "dims", "vector_id", "neighbour", "similarity", "rank")
+    per_rep = materialise(_best(seen.unionByName(itself), ["rep"], k + 1).drop("rank"), "nearest")
+    # k + 1 rows a representative, as an array, meet its copies: in as many salted parts as it has COPIES of them
+    packed = per_rep.groupBy("rep").agg(F.collect_list(F.struct("neighbour", "similarity")).alias("near"))
+    salts = (F.floor((F.col("n") - 1) / COPIES) + 1).cast("int")
+    of_copies = packed.join(lists.select("rep", "n"), "rep").select("rep", "near", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    members = copied.withColumn("_salt", F.pmod(F.xxhash64("vector_id"), salts).cast("int")).join(of_copies, ["rep", "_salt"])
+    alone = per_rep.join(lists.select("rep"), "rep", "left_anti").select("ns", "dims", F.col("rep").alias("vector_id"), "neighbour", "similarity")
+    mine = members.select("ns", "dims", "vector_id", F.explode("near").alias("_near")).select("ns", "dims", "vector_id", "_near.neighbour", "_near.similarity").unionByName(alone)
+    nearest = _best(mine.where("vector_id <> neighbour"), ["ns", "dims", "vector_id"], k).select("ns", "dims", "vector_id", "neighbour", "similarity", "rank")
+    return nearest, placed, sent
 
 
 def similar_pairs(nodes: DataFrame, k: int = 10, least: float = 0.90) -> DataFrame:

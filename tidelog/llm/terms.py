@@ -14,30 +14,45 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.kv import running_total
 from tidelog.session import materialise
 
+#: Terms by which the suffixes are told apart in one round of ``repeated_ngrams``.
+CHUNK = 8
 POSTING = ("ns", "doc_id", "term", "term_freq", "doc_len_tokens", "indexed_lsn", "category", "positions")
 
 
-def current_rows(postings: DataFrame) -> DataFrame:
-    """Distinct rows of each record's latest indexing.
+def current_rows(postings: DataFrame, *columns: Column | str) -> DataFrame:
+    """Distinct rows of each record's latest indexing: ``ns``, ``doc_id`` and ``columns``.
 
     The latest LSN is found by an aggregate that is reduced on the map side, not
-    by a window over the record, and joined back.
+    by a window over the record, and joined back.  Whether rows are identical is
+    told by 128 bits over all of their columns, so that only ``columns`` travel.
     """
     rows = postings.where("ns is not null and doc_id is not null and term is not null").select(*[c for c in POSTING if c in postings.columns])
     rows = rows.withColumn("indexed_lsn", F.coalesce("indexed_lsn", F.lit(-1)))
+    told = [F.col(c) for c in rows.columns if c not in ("ns", "doc_id", "indexed_lsn")]
+    nulls = sum((F.when(c.isNull(), 1 << i).otherwise(0) for i, c in enumerate(told)), F.lit(0))
+    hashes = F.xxhash64(nulls, *told).alias("_h1"), F.xxhash64(F.lit(1), nulls, *told).alias("_h2")
     latest = rows.groupBy("ns", "doc_id").agg(F.max("indexed_lsn").alias("indexed_lsn"))
-    return rows.join(latest, ["ns", "doc_id", "indexed_lsn"]).distinct()
+    marked = rows.select("ns", "doc_id", "indexed_lsn", *columns, *hashes)
+    return marked.join(latest, ["ns", "doc_id", "indexed_lsn"]).drop("indexed_lsn").distinct().drop("_h1", "_h2")
+
+
+def _spelling() -> Column:
+    return F.lower(F.trim("term"))
+
+
+def _frequency() -> Column:
+    return F.coalesce(F.col("term_freq"), F.array_size("positions"), F.lit(0)).cast("bigint")
 
 
 def current_terms(postings: DataFrame) -> DataFrame:
     """``ns``, ``doc_id``, ``term`` (one spelling), ``tf``, ``doc_len``, one row each."""
-    tf = F.coalesce(F.col("term_freq"), F.array_size("positions"), F.lit(0)).cast("bigint")
-    rows = current_rows(postings).select("ns", "doc_id", F.lower(F.trim("term")).alias("term"), tf.alias("tf"), "doc_len_tokens")
+    rows = current_rows(postings, _spelling().alias("term"), _frequency().alias("tf"), "doc_len_tokens")
     return rows.groupBy("ns", "doc_id", "term").agg(F.sum("tf").alias("tf"), F.max("doc_len_tokens").alias("doc_len"))
 
 
@@ -94,78 +109,143 @@ def distinctive_terms(postings: DataFrame, text_indexes: DataFrame, least: float
     return screened.where(share * F.ln(size / F.col("df")) >= least).select("ns", "doc_id", "term")
 
 
-def _intervals(max_n: int):
+def top_terms(postings: DataFrame, text_indexes: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` terms of each record with the highest log-entropy weight (to six places), then in the order of terms; ``rank`` from 1."""
+    rows = log_entropy(postings, text_indexes).withColumn("weight", F.round("weight", 6) + F.lit(0.0)).where("weight is not null")
+    window = Window.partitionBy("ns", "doc_id").orderBy(F.desc("weight"), "term")
+    return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("ns", "doc_id", "term", "weight", "rank")
+
+
+def _intervals(head: list[str], depth: int):
     """Per sorted partition: intervals of common prefixes with their sums.
 
-    Rows are ``ns, t1..tn, occ, dup1..dupn`` in suffix order.  A new interval of
-    depth k begins where the common prefix with the row before is shorter than k.
+    Rows are ``head``, ``t1..tn``, ``occ``, ``dup1..dupn`` in suffix order.  A new
+    interval of depth k begins where the common prefix with the row before is
+    shorter than k.
     """
-    terms = [f"t{k}" for k in range(1, max_n + 1)]
+    terms = [f"t{k}" for k in range(1, depth + 1)]
 
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            shorter = np.ones(len(pdf), dtype=bool)
+            present = np.ones(len(pdf), dtype=bool)
             change = np.zeros(len(pdf), dtype=bool)
             change[0] = True
-            ns = pdf["ns"].to_numpy()
-            change[1:] |= ns[1:] != ns[:-1]
+            for h in head:
+                v = pdf[h].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
             for k, t in enumerate(terms, 1):
                 v = pdf[t].to_numpy()
-                present = np.array([x is not None for x in v], dtype=bool)
+                present &= np.array([x is not None for x in v], dtype=bool)
                 change[1:] |= v[1:] != v[:-1]  # the common prefix ends before depth k
-                shorter &= present
                 at = np.flatnonzero(change)
-                occ = np.add.reduceat(np.where(shorter, pdf["occ"].to_numpy(), 0), at)
-                dup = np.add.reduceat(np.where(shorter, pdf[f"dup{k}"].to_numpy(), 0), at)
-                keep = shorter[at]
+                occ = np.add.reduceat(np.where(present, pdf["occ"].to_numpy(), 0), at)
+                dup = np.add.reduceat(np.where(present, pdf[f"dup{k}"].to_numpy(), 0), at)
+                keep = present[at]
                 rows = at[keep]
                 if not len(rows):
                     continue
-                grams = [" ".join(g) for g in zip(*(pdf[x].to_numpy()[rows] for x in terms[:k]))]
-                yield pd.DataFrame({"ns": ns[rows], "n": np.full(len(rows), k, dtype=np.int32), "term": grams, "occ": occ[keep], "dup": dup[keep]})
+                grams = [list(g) for g in zip(*(pdf[x].to_numpy()[rows] for x in terms[:k]))]
+                yield pd.DataFrame({**{h: pdf[h].to_numpy()[rows] for h in head}, "k": np.full(len(rows), k, dtype=np.int32), "gram": grams, "occ": occ[keep], "dup": dup[keep]})
 
     return run
 
 
-def ngram_frequencies(postings: DataFrame, max_n: int = 1) -> DataFrame:
-    """``ns``, ``n``, ``term``, ``total_tf``, ``df`` of every n-gram of up to ``max_n`` terms.
-
-    A suffix array over the records' term sequences, cut at depth ``max_n``: the
-    suffixes are sorted across the cluster by ranges, and each interval of a
-    common prefix of length n is an n-gram with as many occurrences as suffixes.
-    The records holding it are these less the duplicates within a record: in a
-    record's own sorted suffixes every neighbouring pair sharing n terms repeats
-    the n-gram once.  Equal suffixes are added up before the sort, and the pairs
-    are sought per record and first term, so neither a hot record nor a hot term
-    is one task's work.  Single terms take their occurrences from ``term_freq``;
-    longer ones follow the positions, neighbours being next in position order.
+def _prefix_counts(suffixes: DataFrame, head: list[str], depth: int) -> DataFrame:
+    """``head``, ``k``, ``gram``, ``total_tf``, ``df`` of every prefix of up to ``depth`` terms.
+
+    ``suffixes``: ``head``, ``ns``, ``doc_id``, ``t1..tn``, ``occ`` (how often the
+    suffix counts).  Equal suffixes of a record are added up; in a record's own
+    sorted suffixes every neighbouring pair with k terms in common repeats that
+    prefix once, which is what records count less than occurrences.  Pairs are
+    sought per record and first term, then all records' suffixes are sorted across
+    the cluster by ranges, so neither a hot record nor a hot term is one task's work.
     """
-    terms = [f"t{k}" for k in range(1, max_n + 1)]
-    if max_n == 1:
-        local = current_terms(postings).select("ns", "doc_id", F.col("term").alias("t1"), F.col("tf").alias("occ"))
-        local = local.withColumn("dup1", F.col("occ") - 1)  # equal suffixes are neighbours
-    else:
-        rows = current_rows(postings).select("ns", "doc_id", F.lower(F.trim("term")).alias("t1"), F.explode("positions").alias("_pos"))
-        order = Window.partitionBy("ns", "doc_id").orderBy("_pos", "t1")
-        suffixes = rows.select("ns", "doc_id", "t1", *[F.lead("t1", k - 1).over(order).alias(f"t{k}") for k in range(2, max_n + 1)])
-        local = suffixes.groupBy("ns", "doc_id", *terms).agg(F.count("*").alias("occ"))
-        sort = Window.partitionBy("ns", "doc_id", "t1").orderBy(*terms[1:])
-        same = F.lit(True)
-        before = {t: F.lag(t).over(sort) for t in terms}
-        cols = {}
-        for k, t in enumerate(terms, 1):
-            same = same & (F.col(t) == before[t])
-            pair = F.coalesce(same, F.lit(False)).cast("bigint")
-            cols[f"dup{k}"] = F.when(F.col(t).isNotNull(), F.col("occ") - 1 + pair).otherwise(F.lit(0))
-        local = local.withColumns(cols)
-    added = local.groupBy("ns", *terms).agg(F.sum("occ").alias("occ"), *[F.sum(f"dup{k}").alias(f"dup{k}") for k in range(1, max_n + 1)])
-    ordered = added.repartitionByRange("ns", *terms).sortWithinPartitions("ns", *terms)
-    intervals = ordered.mapInPandas(_intervals(max_n), "ns string, n int, term string, occ bigint, dup bigint")
+    terms = [f"t{k}" for k in range(1, depth + 1)]
+    own = list(dict.fromkeys([*head, "ns", "doc_id"]))
+    local = suffixes.groupBy(*own, *terms).agg(F.sum("occ").alias("occ"))
+    sort = Window.partitionBy(*own, "t1").orderBy(*terms[1:])
+    same = F.lit(True)
+    cols = {}
+    for k, t in enumerate(terms, 1):
+        same = same & (F.col(t) == F.lag(t).over(sort))
+        pair = F.coalesce(same, F.lit(False)).cast("bigint")
+        cols[f"dup{k}"] = F.when(F.col(t).isNotNull(), F.col("occ") - 1 + pair).otherwise(F.lit(0))
+    local = local.withColumns(cols)
+    added = local.groupBy(*head, *terms).agg(F.sum("occ").alias("occ"), *[F.sum(f"dup{k}").alias(f"dup{k}") for k in range(1, depth + 1)])
+    ordered = added.repartitionByRange(*head, *terms).sortWithinPartitions(*head, *terms)
+    kinds = dict(added.dtypes)
+    schema = ", ".join(f"{h} {kinds[h]}" for h in head) + ", k int, gram array<string>, occ bigint, dup bigint"
+    intervals = ordered.mapInPandas(_intervals(head, depth), schema)
     # an interval may go on in the next batch or partition
-    merged = intervals.groupBy("ns", "n", "term").agg(F.sum("occ").alias("total_tf"), F.sum("dup").alias("_dup"))
-    return merged.select("ns", "n", "term", "total_tf", (F.col("total_tf") - F.col("_dup")).alias("df"))
+    merged = intervals.groupBy(*head, "k", "gram").agg(F.sum("occ").alias("total_tf"), F.sum("dup").alias("_dup"))
+    return merged.select(*head, "k", "gram", "total_tf", (F.col("total_tf") - F.col("_dup")).alias("df"))
+
+
+def ngram_frequencies(postings: DataFrame, max_n: int = 1) -> DataFrame:
+    """``ns``, ``n``, ``term``, ``total_tf``, ``df`` of every n-gram of up to ``max_n`` terms (joined by blanks).
+
+    A suffix array over the records' term sequences, cut at ``max_n`` terms and at
+    two at least, and its intervals of common prefixes: an interval of length n is
+    an n-gram.  Neighbours are next in position order.  Single terms are the
+    intervals of length one; what their ``term_freq`` says beyond the positions
+    counts as further suffixes of that one term.  ``repeated_ngrams`` has no cut.
+    """
+    depth = max(2, max_n)
+    terms = [f"t{k}" for k in range(1, depth + 1)]
+    rows = current_rows(postings, _spelling().alias("t1"), _frequency().alias("_tf"), F.coalesce("positions", F.array().cast("array<int>")).alias("_at"))
+    order = Window.partitionBy("ns", "doc_id").orderBy("_pos", "t1")
+    places = rows.select("ns", "doc_id", "t1", F.explode("_at").alias("_pos"))
+    suffixes = places.select("ns", "doc_id", "t1", *[F.lead("t1", k - 1).over(order).alias(t) for k, t in enumerate(terms[1:], 2)], F.lit(1).cast("bigint").alias("occ"))
+    beyond = rows.where("_tf <> size(_at) or size(_at) = 0").select("ns", "doc_id", "t1", *[F.lit(None).cast("string").alias(t) for t in terms[1:]], (F.col("_tf") - F.size("_at")).alias("occ"))
+    counted = _prefix_counts(suffixes.unionByName(beyond), ["ns"], depth).where(F.col("k") <= max_n)
+    return counted.select("ns", F.col("k").alias("n"), F.array_join("gram", " ").alias("term"), "total_tf", "df")
+
+
+def repeated_ngrams(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``ns``, ``n``, ``gram`` (terms), ``total_tf``, ``df``: n-grams of any length that occur more than once and more often than any longer one.
+
+    Every other n-gram that repeats begins some of these and has the counts of the
+    shortest; all the rest occur once.  The suffix array is refined ``chunk``
+    terms at a time, each round only among suffixes that had all terms so far in
+    common with another, until none is left: the rounds follow the longest
+    repeated passage, and nothing is cut.
+    """
+    rows = current_rows(postings, _spelling().alias("term"), "positions").select("ns", "doc_id", "term", F.explode("positions").alias("pos"))
+    placed = materialise(running_total(rows, ["ns", "doc_id", "pos", "term"], F.lit(1), "g").select("ns", "doc_id", "g", "term"), "places")
+    terms = [f"t{k}" for k in range(1, chunk + 1)]
+    # the terms that follow a place: each term sends itself to the places before it
+    sent = placed.select("ns", "doc_id", "term", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(chunk - 1)), lambda o: F.col("g") - o)).alias("_o", "at"))
+    following = sent.groupBy("ns", "doc_id", "at").agg(*[F.max(F.when(F.col("_o") == k, F.col("term"))).alias(t) for k, t in enumerate(terms)])
+    chunks = materialise(following.where("t1 is not null"), "chunks")
+    head = ["ns", "c1", "c2"]
+    marks = lambda *of: [F.xxhash64(F.lit(i), *of).alias(c) for i, c in enumerate(("c1", "c2"))]
+    live = placed.select("ns", "doc_id", F.col("g").alias("start"), *marks("ns"))
+    begun = placed.select("ns").distinct().select("ns", *marks("ns"), F.array().cast("array<string>").alias("gram"), F.lit(None).cast("bigint").alias("total_tf"), F.lit(None).cast("bigint").alias("df"))
+    base, done = 0, []
+    while True:
+        here = live.withColumn("at", F.col("start") + base).drop("start").join(chunks, ["ns", "doc_id", "at"]).withColumn("start", F.col("at") - base)
+        found = materialise(_prefix_counts(here.withColumn("occ", F.lit(1).cast("bigint")), head, chunk).where("total_tf > 1"), "grams")
+        more = found.select(*head, (F.col("k") - 1).alias("k"), F.slice("gram", 1, F.greatest(F.col("k") - 1, F.lit(0))).alias("gram"), "total_tf").groupBy(*head, "k", "gram").agg(F.max("total_tf").alias("_longer"))
+        ended = F.col("_longer").isNull() | (F.col("_longer") < F.col("total_tf"))
+        # what the last round left open, where no term more keeps the count
+        last = begun.where("total_tf is not null").join(more.where("k = 0").select(*head, "_longer"), head, "left").where(ended)
+        done.append(last.select("ns", "gram", "total_tf", "df"))
+        inner = found.where(F.col("k") < chunk).join(more, [*head, "k", "gram"], "left").where(ended)
+        before = begun.select(*head, F.col("gram").alias("_before"))
+        done.append(inner.join(before, head).select("ns", F.concat("_before", "gram").alias("gram"), "total_tf", "df"))
+        deeper = found.where(F.col("k") == chunk)
+        if deeper.isEmpty():
+            break
+        going = deeper.select(*head, *[F.col("gram")[i].alias(t) for i, t in enumerate(terms)])
+        live = materialise(here.join(going, [*head, *terms], "left_semi").select("ns", "doc_id", "start", *marks("c1", "c2", F.array(*terms))), "tied")
+        begun = materialise(deeper.join(before, head).select("ns", *marks("c1", "c2", "gram"), F.concat("_before", "gram").alias("gram"), "total_tf", "df"), "passages")
+        base += chunk
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    return every.select("ns", F.size("gram").alias("n"), "gram", "total_tf", "df")
 
 
 def marked_frequencies(postings: DataFrame, text_indexes: DataFrame, max_n: int = 1, least_tf: int = 3, most_percent: int = 30) -> DataFrame:
@@ -179,4 +259,4 @@ def useless_terms(postings: DataFrame, text_indexes: DataFrame) -> DataFrame:
     return marked_frequencies(postings, text_indexes).where("mark is not null").select("ns", "term")
 
 
-__all__ = ["current_rows", "current_terms", "distinctive_terms", "log_entropy", "marked_frequencies", "ngram_frequencies", "useless_terms"]
+__all__ = ["current_rows", "current_terms", "distinctive_terms", "log_entropy", "marked_frequencies", "ngram_frequencies", "repeated_ngrams", "top_terms", "useless_terms"]
