@@ -50,6 +50,12 @@ def get(log: DataFrame, ns: bytes, key: bytes) -> DataFrame:
     return live(namespace(log, ns).where(F.col("key") == lit_bytes(key)))
 
 
+def value_of(rows: DataFrame) -> bytes | None:
+    """The value of a point read: None where the key is missing, empty where a put has none."""
+    row = rows.select("value").first()
+    return None if row is None else bytes(row[0] or b"")
+
+
 def get_into(log: DataFrame, ns: bytes, key: bytes) -> DataFrame:
     """One row ``found``, ``value``: null where the key is missing or deleted."""
     return get(log, ns, key).agg((F.count("*") > 0).alias("found"), F.max("value").alias("value"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +46,27 @@ def segment_metadata(log: DataFrame, window_s: int, ttl0: str = "window") -> Dat
     )
 
 
-def segment_roots(log: DataFrame, sort_within: bool = True) -> DataFrame:
-    """Merkle root of each segment's keys: hash of the sorted key hashes (a segment is bounded in size)."""
+def segment_roots(log: DataFrame) -> DataFrame:
+    """Merkle root of each segment's keys: hash of the sorted key hashes.
+
+    The hashes are sorted by the exchange and run through the digest as they come,
+    so a segment's size takes time but no memory.
+    """
     hashed = log.where("seg_id is not null").select("seg_id", content_hash(encode_key(F.col("ns"), F.col("key"))).alias("h")).distinct()
-    return hashed.groupBy("seg_id").agg(merkle_root(F.col("h")).alias("merkle_root"))
+
+    def run(batches):
+        segment, digest = None, None
+        for pdf in batches:
+            for number, part in pdf.groupby("seg_id", sort=False):
+                if number != segment:
+                    if digest is not None:
+                        yield pd.DataFrame({"seg_id": [segment], "merkle_root": [digest.hexdigest()]})
+                    segment, digest = int(number), hashlib.sha256()
+                digest.update("".join(part["h"]).encode())
+        if digest is not None:
+            yield pd.DataFrame({"seg_id": [segment], "merkle_root": [digest.hexdigest()]})
+
+    return hashed.repartition("seg_id").sortWithinPartitions("seg_id", "h").mapInPandas(run, "seg_id bigint, merkle_root string")
 
 
 def range_roots(segments: DataFrame, per_range: int = 100) -> DataFrame:
@@ -74,15 +94,33 @@ def differing_ranges(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "range_no", "full_outer").where(~F.col("left_root").eqNullSafe(F.col("right_root")))
 
 
-def nibble_roots(segments: DataFrame) -> DataFrame:
-    """Sixteen buckets by the high four bits of the user key's first byte, each with its root."""
+def merkle_buckets(segments: DataFrame, per_group: int = 4_096) -> DataFrame:
+    """Tree of sixteen ``bucket`` hashes over key ranges, all of them there, zeros for an empty one.
+
+    A segment is in the bucket of the high four bits of its least user key.  A
+    bucket is the hash of its segments' merkle roots in the order of ids, taken in
+    groups of ``per_group`` ids and then over the groups, so no array grows with the
+    bucket but by a row for every group.
+    """
     key_hex = F.hex("min_key")
     ns_len = F.conv(F.substring(key_hex, 1, 4), 16, 10).cast("int")
-    nibble = F.conv(F.substring(key_hex, 5, 1_000_000).substr(ns_len * 2 + 1, F.lit(1)), 16, 10).cast("int")
-    return (
-        segments.where("min_key is not null").withColumn("bucket", F.coalesce(nibble, F.lit(0)))
-        .groupBy("bucket").agg(merkle_root(hash_text(F.col("segment_hash"))).alias("root"))
-    )
+    nibble = F.conv(F.substring(F.substr(key_hex, F.lit(5) + ns_len * 2), 1, 1), 16, 10).cast("int")
+    placed = segments.select("segment_id", F.coalesce(hash_text(F.col("merkle_root")), F.lit("")).alias("root"), F.coalesce(nibble, F.lit(0)).alias("bucket"))
+    joined = lambda order, what: F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(order, what))), lambda x: x[what])), 256)
+    groups = placed.withColumn("part", F.floor(F.col("segment_id") / per_group)).groupBy("bucket", "part").agg(joined("segment_id", "root").alias("root"))
+    held = groups.groupBy("bucket").agg(joined("part", "root").alias("root"))
+    return segments.sparkSession.range(16).select(F.col("id").cast("int").alias("bucket")).join(held, "bucket", "left").select("bucket", F.coalesce("root", F.lit("0" * 64)).alias("root"))
+
+
+def merkle_tree_root(buckets: DataFrame) -> DataFrame:
+    """One row: the hash over the sixteen buckets in order."""
+    return buckets.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "root"))), lambda x: x["root"])), 256).alias("root"))
+
+
+def differing_buckets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``bucket`` numbers whose hashes differ between two trees."""
+    both = left.join(right.select("bucket", F.col("root").alias("_other")), "bucket", "full_outer")
+    return both.where(~F.col("root").eqNullSafe(F.col("_other"))).select("bucket")
 
 
 def missing_segments(local: DataFrame, peer: DataFrame) -> DataFrame:
@@ -154,7 +192,8 @@ def tiered(hot: DataFrame, cold: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def register_archived(archived: DataFrame) -> DataFrame:
-    """Archived segments, one of each hash."""
+    """Archived segments, one of each hash; those of unknown hash can't be told apart by it and all stay."""
     known = archived.withColumn("_h", hash_text(F.col("segment_hash")))
-    window = Window.partitionBy("_h").orderBy("segment_id")
-    return known.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n", "_h")
+    window = Window.partitionBy("_h").orderBy("segment_id", "segment_hash")
+    first = known.where("_h is not null").withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    return first.unionByName(known.where("_h is null")).drop("_h")

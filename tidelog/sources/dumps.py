@@ -1,15 +1,13 @@
-"""Export and import of live rows: JSON lines, Parquet; a content-addressed blob folder."""
+"""Export and import of live rows: JSON lines, Parquet, framed binary files."""
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.bytesx import PUT, hex_lower, text_or_null
 from tidelog.operators.kv import live
+from tidelog.sources import framed
 
 
 def export_json(log: DataFrame, path: str) -> None:
@@ -33,44 +31,11 @@ def export_parquet(log: DataFrame, path: str) -> None:
     as_text(log).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-class BlobFolder:
-    """Content-addressed blobs on a shared file system: a name is the content's hash."""
-
-    def __init__(self, path: str):
-        self.path = path
-        os.makedirs(path, exist_ok=True)
-
-    def _name(self, digest: str, kind: str) -> str:
-        if not digest or any(c not in "0123456789abcdef" for c in digest):
-            raise ValueError(f"no hash: {digest!r}")
-        return os.path.join(self.path, f"{digest}.{kind}")
-
-    def upload(self, data: bytes, kind: str = "seg") -> str:
-        digest = hashlib.sha256(data).hexdigest()
-        name = self._name(digest, kind)
-        with open(f"{name}.{os.getpid()}.tmp", "wb") as out:
-            out.write(data)
-        os.replace(out.name, name)
-        return digest
-
-    def upload_if_absent(self, data: bytes, kind: str = "seg") -> bool:
-        if os.path.exists(self._name(hashlib.sha256(data).hexdigest(), kind)):
-            return False
-        self.upload(data, kind)
-        return True
-
-    def download(self, digest: str, kind: str = "seg") -> bytes | None:
-        try:
-            with open(self._name(digest, kind), "rb") as blob:
-                return blob.read()
-        except FileNotFoundError:
-            return None
+def export_binary(log: DataFrame, path: str, rotate_bytes: int = framed.ROTATE_BYTES) -> DataFrame:
+    """Live rows of every namespace as framed files; ``file`` and ``records`` written."""
+    return framed.write_log(live(log), path, rotate_bytes)
 
-    def list(self, kind: str = "seg") -> list[str]:
-        return sorted(n[: -len(kind) - 1] for n in os.listdir(self.path) if n.endswith(f".{kind}"))
 
-    def delete(self, digest: str, kind: str = "seg") -> None:
-        try:
-            os.remove(self._name(digest, kind))
-        except FileNotFoundError:
-            pass
+def import_binary(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a binary export as puts, ready to be appended."""
+    return framed.read_log(spark, path).where(F.col("op") == PUT).select("ns", "key", "value", "op", "ts_ns", F.coalesce("ttl_s", F.lit(0)).alias("ttl_s"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidelog.operators import kv, segments
+from tidelog.sources.files import Files
+from tidelog.sources.store import SCHEMA
 
 
 def stream_log(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -17,32 +19,52 @@ def stream_log(spark: SparkSession, path: str, schema, files_per_batch: int = 10
 
 
 def upsert_current(stream: DataFrame, target: str, checkpoint: str, buckets: int = 64):
-    """Fold a stream of changes into the current version of each key, kept as Parquet.
+    """Fold a stream of changes into the current version of each key, kept as Parquet in ``buckets`` by key.
 
-    Each batch writes a new generation, named by the batch, of the newest version
-    of every key; a replayed batch writes the same generation again, so results
-    are exact though deliveries repeat or come late.
+    A batch rewrites only the buckets it has keys of, each under the batch's number,
+    and drops what the batch before the last superseded; a replayed batch writes
+    the same files again.  So results are exact though deliveries repeat or come
+    late, and a batch costs the buckets it touches.  Choose their number so that a
+    bucket fits a task.
     """
     spark = stream.sparkSession
+    files = Files(spark, target)
+    bucket = F.pmod(F.xxhash64("ns", "key"), F.lit(buckets)).cast("int")
 
     def fold(batch: DataFrame, number: int) -> None:
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName()) for s in fs.listStatus(fs_path) if s.getPath().getName().isdigit()) if fs.exists(fs_path) else []
-        before = [n for n in done if n < number]
-        rows = kv.newest(batch)
-        if before:
-            rows = kv.newest(rows.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/{before[-1]}")))
-        rows.repartition(buckets, "ns", "key").write.mode("overwrite").parquet(f"{target}/{number}")
+        rows = kv.newest(batch).withColumn("_bucket", bucket)
+        touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # at most `buckets` rows
+        held = _generations(files)
+        earlier = {b: max((n for n in held.get(b, []) if n < number), default=None) for b in touched}
+        paths = [files.at(f"bucket={b}/{n}") for b, n in earlier.items() if n is not None]
+        if paths:
+            before = spark.read.schema(batch.schema).parquet(*paths)
+            rows = kv.newest(rows.drop("_bucket").unionByName(before.select(*batch.columns))).withColumn("_bucket", bucket)
+        staged = files.at(f"staged/{number}")
+        rows.repartition(buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(staged)
+        for b in touched:
+            files.delete(f"bucket={b}/{number}")
+            files.make(f"bucket={b}")
+            files.rename(f"staged/{number}/_bucket={b}", f"bucket={b}/{number}")
+            for old in held.get(b, []):
+                if old < (earlier[b] or 0):
+                    files.delete(f"bucket={b}/{old}")
+        files.delete(f"staged/{number}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
 
 
-def latest_generation(spark: SparkSession, target: str) -> DataFrame:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    newest = max(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit())
-    return spark.read.parquet(f"{target}/{newest}")
+def _generations(files: Files) -> dict[int, list[int]]:
+    """Batch numbers held of each bucket."""
+    return {int(b[7:]): sorted(int(n) for n in files.names(b) if n.isdigit()) for b in files.names() if b.startswith("bucket=")}
+
+
+def latest_generation(spark: SparkSession, target: str, schema=None) -> DataFrame:
+    """The current version of every key."""
+    files = Files(spark, target)
+    paths = [files.at(f"bucket={b}/{numbers[-1]}") for b, numbers in _generations(files).items() if numbers]
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(*paths) if paths else spark.createDataFrame([], schema or SCHEMA)
 
 
 class NewestVersion(StatefulProcessor):
