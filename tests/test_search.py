@@ -125,3 +125,36 @@ def test_typo_edits_are_characters(spark):
 def test_quantization(spark):
     df = spark.createDataFrame([([0.0, 0.5, 1.0],), ([2.0, 2.0],)], "v array<double>")
     assert [r[0] for r in df.select(fv.scalar_quantized(F.col("v"))).collect()] == [[-128, 0, 127], [-128, -128]]
+
+
+def test_graph_index(spark, tmp_path, monkeypatch):
+    from tidelog.operators import graph
+
+    monkeypatch.setattr(graph, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(5)
+    data = (rng.normal(size=(12, 8))[rng.integers(0, 12, 500)] + 0.3 * rng.normal(size=(500, 8))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(900, None), (901, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    index = graph.GraphIndex(spark, str(tmp_path / "g")).build(df.where("vec_id < 450 or vec_id >= 900"), stamp="one")
+    assert index.search(data[3].tolist(), 1).collect()[0]["vec_id"] == 3
+    index.insert(df.where("vec_id between 450 and 499"), stamp="two")
+    assert index.stale("one") and not index.stale("two")
+    got = index.search_many(df.where("vec_id % 50 = 0"), 10).collect()
+    hits = 0
+    for q in range(0, 500, 50):
+        want = set(np.argsort(((data - data[q]) ** 2).sum(1), kind="stable")[:10].tolist())
+        hits += len(want & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 95
+    q = data[7].tolist()
+    assert vectors.search(df, q, 5, "l2", index, "two").collect()[0]["vec_id"] == 7
+    assert [tuple(r) for r in vectors.search(df, q, 5, "l2", index, "one").collect()] == [tuple(r) for r in vectors.top_k(df, q, 5, "l2").collect()]
+    copy = graph.Graph.from_bytes(graph.Graph("cosine").insert(range(50), data[:50]).to_bytes())
+    assert copy.search(data[9], 1)[0][1] == 9 and graph.Graph().search([1.0], 3) == []
+
+
+def test_stored_vectors_of_all_types(spark):
+    rows = [(1, "n", 2, t, np.array(v, codecs.DTYPES[t]).tobytes(), 5) for t, v in (("F32", [1, 2]),)]
+    rows += [(2, "n", 2, "F16", np.array([1, 3], "<f2").tobytes(), 1), (3, "n", 2, "I8", bytes([255, 2]), 1), (1, "n", 2, "F32", np.array([9, 9], "<f4").tobytes(), 4)]
+    rows += [(4, "n", 2, "F32", b"123", 1), (5, "n", 2, "F32", np.array([np.nan, 1], "<f4").tobytes(), 1), (6, "n", 2, "X", b"12", 1), (7, "n", None, "I8", b"12", 1), (2, "n", 2, "F16", b"", 9)]
+    df = spark.createDataFrame(rows, "vector_id bigint, ns string, dims int, dtype string, vector_data binary, lsn bigint")
+    assert tuples(vectors.usable_nodes(df), "vector_id", "embedding") == [(1, [1.0, 2.0]), (2, [1.0, 3.0]), (3, [-1.0, 2.0])]

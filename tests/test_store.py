@@ -117,6 +117,40 @@ def test_command_line(spark, tmp_path):
     assert cli.run([str(tmp_path / "other"), "import", str(tmp_path / "e")], spark, said.append) == 0 and said[-1] == 2
     call("delete", "k")
     assert call("get", "k") == 1
+    assert call("create") == 0 and said[-1] is False
+    call("export", str(tmp_path / "x"), "--format", "binary")
+    assert said[-1] == 1 and cli.run([str(tmp_path / "third"), "import", str(tmp_path / "x"), "--format", "binary"], spark, said.append) == 0 and said[-1] == 1
+    call("vector-put", "v1", "1,0")
+    call("vector-put", "v2", "0,2.5")
+    assert call("vector-get", "v2") == 0 and said[-1] == "0,2.5" and call("vector-get", "v3") == 1
+    call("vector-search", "0,1", "--k", "1", "--metric", "euclidean")
+    assert said[-1] == "1.500000\tv2"
+    call("text-put", "t1", "segment compaction")
+    call("text-put", "t2", "another text")
+    call("text-search", "segmnt", "--typo")
+    assert said[-1].endswith("\tt1")
+
+
+def test_immutable_engine(spark, tmp_path):
+    import json
+
+    from tidelog.sources.immutable import ImmutableEngine, segment_bytes
+
+    store = two_segments(spark, str(tmp_path / "s"))
+    store.delete(b"n", b"a")
+    store.flush()
+    held = store.state()["segments"]
+    by_path = ImmutableEngine.from_paths(spark, [store.files.at(f"segments/{m['folder']}") for m in held.values()])
+    by_bytes = ImmutableEngine.from_bytes(spark, [segment_bytes(store.segments([i])) for i in store.segment_ids()])
+    for engine in (by_path, by_bytes):
+        assert engine.get(b"n", b"a") is None and engine.get(b"n", b"y") == b"3"
+        assert tuples(engine.range(b"n", b"b", b"z"), "key") == [(b"b",), (b"y",)] and tuples(engine.prefix(b"n", b"z"), "key") == [(b"z",)]
+        assert [bytes(r["key"]) for r in engine.page(b"n", 2).collect()] == [b"b", b"y"] and [bytes(r["key"]) for r in engine.page_back(b"n", 1).collect()] == [b"z"]
+        assert [e["hash"] for e in json.loads(engine.manifest_json())["segments"]] == [h for h, _ in store.export_manifest()]
+        assert engine.get_with_stats(b"n", b"b").first()["segments_scanned"] == 1
+    assert ImmutableEngine(spark, []).get(b"n", b"a") is None
+    with pytest.raises(Exception):
+        ImmutableEngine.from_bytes(spark, [b"broken"])
 
 
 def two_segments(spark, path):

@@ -13,7 +13,8 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -26,8 +27,20 @@ TYPO_WEIGHT = 0.5
 LITERAL_TERMS = 100
 #: Postings with positions that a task hands on at a time, but for a document's rest.
 POSTINGS_AT_ONCE = 50_000
+#: Runs of letters and digits, as the JVM and as Python write it.
 TOKEN = r"[\p{IsAlphabetic}\p{N}]+"
-_RUN = re.compile(r"[^\W_]+")
+_RUN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
+
+
+def runs(text: str):
+    """(token, character it starts at) of a text: the tokens of ``token_array``, in order."""
+    for m in _RUN.finditer(text):
+        word = m[0].lower()
+        if word.isascii():
+            yield word, m.start()
+        else:  # a letter whose small form ends in a mark
+            for part in _RUN.findall(word):
+                yield part, m.start()
 
 
 def stopwords(spark, lang: str) -> list[str]:
@@ -78,13 +91,12 @@ def _placed_words(documents: DataFrame, lang: str | Column | None) -> tuple[Data
     def words(text: str, own: str | None, known: dict):
         """``known``: stems found so far."""
         stop, stem = stops.get(own, frozenset()), stems.get(own)
-        for m in _RUN.finditer(text):
-            word = m[0].lower()
+        for word, at in runs(text):
             if word in stop:
                 continue
             if stem:
                 word = known.get((own, word)) or known.setdefault((own, word), stem(word))
-            yield word, m.start()
+            yield word, at
 
     own = lang if isinstance(lang, Column) else F.lit(lang).cast("string")
     return documents.where("text is not null").select("doc_id", "text", own.alias("_lang")), words
@@ -162,7 +174,7 @@ def bm25(tf: Column, doc_len: Column, df: Column, n: int, avg_len: float) -> Col
 
 def query_terms(spark, query: str, lang: str | None = None) -> list[str]:
     """A query's terms by the rules the documents were tokenized with, repeats kept."""
-    found = [m[0].lower() for m in _RUN.finditer(query)]
+    found = [word for word, _ in runs(query)]
     if lang:
         stop = set(stopwords(spark, lang))
         found = [STEMMERS[lang](w) for w in found if w not in stop]
@@ -201,8 +213,8 @@ def facet_filter(facets: dict, columns: dict[str, str]) -> Column:
     return reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), (same(k, v) for k, v in facets.items()), F.lit(True))
 
 
-def scores(documents: DataFrame, query: str, lang: str | None = None, facets: dict | None = None, typo: bool = False, index: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
-    """``doc_id``, ``score`` of every match; df and N are taken before facets.
+def scores(documents: DataFrame, query: str, lang: str | None = None, facets: dict | None = None, typo: bool = False, index: DataFrame | None = None, stats: tuple[int, float] | None = None, only=None) -> DataFrame:
+    """``doc_id``, ``score`` of every match (of the document ``only`` if given); df and N are taken before facets.
 
     A query without stems needs no index and no shuffle: one aggregate gives N,
     lengths and the few document frequencies, then every document is scored where
@@ -213,14 +225,14 @@ def scores(documents: DataFrame, query: str, lang: str | None = None, facets: di
     spark = documents.sparkSession
     terms = query_terms(spark, query, lang)
     if not terms:
-        return spark.createDataFrame([], "doc_id bigint, score double")
+        return documents.select("doc_id").limit(0).withColumn("score", F.lit(0.0))
     if not lang and index is None:
         weights = {t: float(terms.count(t)) for t in terms}
         if typo:
             for q, t in _typos_in(documents, terms):
                 weights[t] = weights.get(t, 0.0) + TYPO_WEIGHT * terms.count(q)
         if len(weights) <= LITERAL_TERMS:
-            return _scan_scores(documents, weights, facets)
+            return _scan_scores(documents, weights, facets, only)
     index = postings(documents, lang) if index is None else index
     n, avg_len = stats or documents_stats(documents, lang)
     weights = _weights(index, terms, typo)
@@ -230,6 +242,8 @@ def scores(documents: DataFrame, query: str, lang: str | None = None, facets: di
     if facets:
         allowed = documents.where(facet_filter(facets, dict(documents.dtypes))).select("doc_id")
         hits = hits.join(allowed, "doc_id", "left_semi")
+    if only is not None:
+        hits = hits.where(F.col("doc_id") == only)
     part = F.col("weight") * bm25(F.col("tf"), F.col("doc_len"), F.col("df"), n, avg_len)
     return hits.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
@@ -245,13 +259,15 @@ def _typos_in(documents: DataFrame, terms: list[str]) -> list[tuple[str, str]]:
     return [tuple(r) for r in typo_candidates(found, terms).collect()]
 
 
-def _scan_scores(documents: DataFrame, weights: dict[str, float], facets: dict | None) -> DataFrame:
+def _scan_scores(documents: DataFrame, weights: dict[str, float], facets: dict | None, only=None) -> DataFrame:
     columns = list(dict.fromkeys(["doc_id", "text", *(c for c in (facets or {}) if c in documents.columns)]))
     read = spread(documents.select(*columns)).withColumn("_t", token_array(F.col("text")))
     row = read.agg(F.count("*"), F.coalesce(F.sum(F.size("_t")), F.lit(0)), *[F.count_if(F.array_contains("_t", t)) for t in weights]).first()
     n, avg_len, df = row[0], (row[1] / row[0] if row[0] else 0.0), dict(zip(weights, row[2:]))
     if facets:
         read = read.where(facet_filter(facets, dict(documents.dtypes)))
+    if only is not None:
+        read = read.where(F.col("doc_id") == only)
     counted = read.select("doc_id", F.size("_t").alias("_len"), *[_occurrences(t).alias(f"_tf{i}") for i, t in enumerate(weights)])
     parts = [F.lit(w) * bm25(F.col(f"_tf{i}"), F.col("_len"), F.lit(df[t]), n, avg_len) for i, (t, w) in enumerate(weights.items())]
     hit = reduce(lambda a, b: a | b, (F.col(f"_tf{i}") > 0 for i in range(len(weights))))
@@ -276,7 +292,29 @@ def search_stats(documents: DataFrame, query: str, **options) -> DataFrame:
 
 
 def score_document(documents: DataFrame, query: str, doc_id: int, lang: str | None = None) -> DataFrame:
-    return scores(documents, query, lang).where(F.col("doc_id") == doc_id).select("doc_id", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+    """The score of one document: counts are taken over all, only this one is scored."""
+    return scores(documents, query, lang, only=doc_id).select("doc_id", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+
+
+def search_many(index: DataFrame, stats: tuple[int, float], queries: DataFrame, k: int, lang: str | None = None) -> DataFrame:
+    """``query_id``, ``doc_id``, ``score``, ``rank``: the ``k`` best documents of each row of ``queries`` (``query_id``, ``query``).
+
+    One job for all queries over postings (``term``, ``doc_id``, ``tf``, ``doc_len``):
+    queries are terms with weights, joined by term.  A term with very many postings
+    is split by AQE on either side of that join; sums and ranks are reduced before
+    they move.  A null query finds nothing; ids of queries should be unique.
+    """
+    asked = queries.where("query is not null").select("query_id", F.explode(token_array(F.col("query"))).alias("term"))
+    if lang:
+        asked = stemmed(asked.where(~F.col("term").isin(stopwords(queries.sparkSession, lang))), lang)
+    weights = asked.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    hits = index.join(weights.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "tf", "doc_len")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    n, avg_len = stats
+    part = F.col("weight") * bm25(F.col("tf"), F.col("doc_len"), F.col("df"), n, avg_len)
+    scored = hits.join(weights.join(df, "term"), "term").groupBy("query_id", "doc_id").agg((F.round(F.sum(part), 6) + F.lit(0.0)).alias("score"))
+    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
 def snippets(documents: DataFrame, query: str, context: int = 30, lang: str | None = None) -> DataFrame:
@@ -289,20 +327,20 @@ def snippets(documents: DataFrame, query: str, context: int = 30, lang: str | No
     wanted = frozenset(query_terms(spark, query, lang))
     stop = frozenset(stopwords(spark, lang)) if lang else frozenset()
     stem = STEMMERS[lang] if lang else (lambda w: w)
+    space = re.compile(r"\s")
 
     def run(batches):
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                for m in _RUN.finditer(text):
-                    word = m[0].lower()
+                for word, at in runs(text):
                     if word in stop or stem(word) not in wanted:
                         continue
-                    gap = re.compile(r"\s").search(text, m.start())
+                    gap = space.search(text, at)
                     end = gap.start() if gap else len(text)
-                    lo, hi = max(0, m.start() - context), min(len(text), end + context)
-                    first = len(text[lo : m.start()].encode())
-                    out.append((doc_id, m.start(), text[lo:hi], first, first + len(text[m.start() : end].encode())))
+                    lo, hi = max(0, at - context), min(len(text), end + context)
+                    first = len(text[lo:at].encode())
+                    out.append((doc_id, at, text[lo:hi], first, first + len(text[at:end].encode())))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "pos", "snippet", "match_start", "match_end"])
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.vectors import METRICS, distance, distances, doubles
+from tidelog.functions.vectors import DTYPES, METRICS, distance, distances, doubles
 
 #: Query vectors sent to the tasks at a time.
 QUERY_BLOCK = 4_096
@@ -97,10 +97,56 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos
     flush()
     if found is None:
         found = vectors.sparkSession.createDataFrame([], schema)
+    return nearest_of(found, k, id_col)
+
+
+def nearest_of(found: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
+    """The ``k`` nearest rows of each ``query_id``, with ``rank``."""
     window = Window.partitionBy("query_id").orderBy("distance", id_col)
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def usable_nodes(nodes: DataFrame) -> DataFrame:
+    """Stored vectors decoded: ``vector_id``, ``ns``, ``dims``, ``dtype``, ``embedding`` (doubles) of each id's usable row of the highest LSN.
+
+    Usable is a row with ``dims`` elements of a known type, all finite; zeros are.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for (dims, dtype), group in pdf.groupby(["dims", "dtype"], sort=False):
+                kind = DTYPES.get(dtype)
+                if kind is None or dims <= 0:
+                    continue
+                group = group[group["vector_data"].str.len() == dims * np.dtype(kind).itemsize]
+                if not len(group):
+                    continue
+                x = np.frombuffer(b"".join(group["vector_data"]), dtype=kind).astype(np.float64).reshape(len(group), dims)
+                good = np.isfinite(x).all(axis=1)
+                if not good.any():
+                    continue
+                kept = group[good]
+                yield pd.DataFrame({**{c: kept[c].to_numpy() for c in ("vector_id", "ns", "dims", "dtype", "lsn")}, "embedding": x[good].tolist()})
+
+    rows = nodes.where("vector_id is not null and ns is not null and dims is not null and vector_data is not null").select("vector_id", "ns", "dims", "dtype", F.coalesce("lsn", F.lit(-1)).alias("lsn"), "vector_data")
+    decoded = rows.mapInPandas(run, "vector_id bigint, ns string, dims int, dtype string, lsn bigint, embedding array<double>")
+    order = Window.partitionBy("vector_id").orderBy(F.desc("lsn"), "embedding")
+    return decoded.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "lsn")
+
+
+def search(vectors: DataFrame, query, k: int, metric: str = "cosine", index=None, stamp: str = "", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``id``, ``distance``: by the index if it is fresh (its stamp is ``stamp``) and of this metric, else exactly."""
+    if index is not None and not index.stale(stamp) and index.head()["metric"] == METRICS[metric]:
+        return index.search(query, k).withColumnRenamed("vec_id", id_col)
+    return top_k(vectors, query, k, metric, id_col, vec_col)
+
+
+def search_with_stats(vectors: DataFrame, query, k: int, metric: str, key_bytes: Column, id_col: str = "vec_id", vec_col: str = "embedding", element_bytes: int = 4) -> DataFrame:
+    """``top_k`` with what the flat search read beside each row: ``items_examined`` and ``bytes_read``."""
+    cost = search_cost(vectors, key_bytes, vec_col, element_bytes)
+    return top_k(vectors, query, k, metric, id_col, vec_col).crossJoin(F.broadcast(cost))  # k rows by one row
+
+
 class CellIndex:
     """Approximate search: vectors grouped in cells around centres fitted on a bounded sample.
 
@@ -176,4 +222,4 @@ class CellIndex:
             probes = max([n for at, n in head["probes"] if at <= k] + fitting[:1]) if fitting else len(head["centres"])
         near = distances(np.array([query], dtype=np.float64), np.array(head["centres"]), "l2")[0].argsort(kind="stable")[:probes]
         rows = self.spark.read.parquet(f"{self.path}/cells").where(F.col("cell").isin([int(c) for c in near]))  # partition pruning
-        return top_k(rows, query, k, head["metric"], "id", "vec")
+        return top_k(rows, query, k, head["metric"], "id", "vec").withColumnRenamed("id", "vec_id")

@@ -223,6 +223,14 @@ class Store:
         hashes = sorted(h for h, _ in self.export_manifest())
         return hashlib.sha256("".join(hashes).encode()).hexdigest() if hashes else "0" * 64
 
+    def create(self) -> bool:
+        """Write the first state; False if there is one."""
+        state = self._changing()
+        if state["version"]:
+            return False
+        self._commit(state)
+        return True
+
     def current_lsn(self) -> int:
         return self.state()["next_lsn"] - 1
 
