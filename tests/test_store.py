@@ -123,8 +123,8 @@ def test_command_line(spark, tmp_path):
     call("vector-put", "v1", "1,0")
     call("vector-put", "v2", "0,2.5")
     assert call("vector-get", "v2") == 0 and said[-1] == "0,2.5" and call("vector-get", "v3") == 1
-    call("vector-search", "0,1", "--k", "1", "--metric", "euclidean")
-    assert said[-1] == "1.500000\tv2"
+    call("vector-search", "0,2", "--k", "1", "--metric", "euclidean")
+    assert said[-1] == "0.500000\tv2"
     call("text-put", "t1", "segment compaction")
     call("text-put", "t2", "another text")
     call("text-search", "segmnt", "--typo")

@@ -1,9 +1,10 @@
 """Queries of the core and, where SQL can say the same, their SQL for another engine.
 
-All run over whole tables.  Scans of the store read ``wal_records``; vectors come
-from ``embeddings``, texts from ``documents``, transactions and replicas from
-``events``, segments from ``segments`` and ``peer_segments``.  Bytes come out in
-lower-case hex, doubles rounded to six places.
+All run over whole tables.  Reads, writes, life cycle, replicas and tiers of the
+store go over ``wal_records``; vectors come from ``embeddings`` and
+``hnsw_nodes``, texts from ``documents``, queries of a batch from ``eval_items``,
+manifests from ``segments`` and ``peer_segments``.  Bytes come out in lower-case
+hex, doubles rounded to six places.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 NS, START, END, PREFIX = b"users", b"user:000000100", b"user:000000300", b"user:0000001"
 KEY, PAGE, CURSOR = b"user:000000002", 25, b"user:000000120"
 WINDOW, NOW = 86_400, 1_748_219_306_851_534_107
-#: A moment within the death times of the events.
-EVENTS_NOW = 1_704_500_000_000_000_000
 TEXT_QUERY, TYPO_QUERY = "segment compaction segment vector", "segmnt vektor"
-AS_OF = 20_000
+AS_OF = 10_000
+#: Rows of the log that count as the hot and the cold tier.
+HOT, COLD = "seg_id is null or seg_id % 2 = 0", "seg_id % 2 = 1"
 
 
 def _hexed(df: DataFrame, *columns: str) -> DataFrame:
@@ -46,16 +47,9 @@ def _log(s: SparkSession, d: str) -> DataFrame:
     return kv.from_wal(t(s, d, "wal_records"))
 
 
-def _event_log(s: SparkSession, d: str) -> DataFrame:
-    """Change log of the events: one key a user, LSN order unlike time order, errors as deletes."""
-    e = t(s, d, "events")
-    return e.select(
-        F.lit(bytearray(b"events")).alias("ns"), F.lpad(F.col("user_id").cast("string"), 8, "0").cast("binary").alias("key"),
-        F.concat_ws(":", "event_type", "event_id").cast("binary").alias("value"),
-        F.when(F.col("event_type") == "error", 2).otherwise(1).cast("tinyint").alias("op"),
-        ((F.col("event_id") * 7919) % 1_000_003).alias("lsn"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"),
-        ((F.col("event_id") % 4) * 86_400).alias("ttl_s"), F.floor(F.col("event_id") / 7).alias("txid"), F.floor(F.col("event_id") / 500).alias("seg_id"), "event_id",
-    )
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """The log with each stored copy once."""
+    return _log(s, d).distinct()
 
 
 def _live(s: SparkSession, d: str) -> DataFrame:
@@ -94,24 +88,24 @@ def queries() -> dict[str, Query]:
         "kv_snapshot_segments": lambda s, d: _hexed(kv.live(kv.snapshot(_log(s, d), _live(s, d).select(F.col("segment_id").alias("seg_id")))), "ns", *kvcols),
         "kv_namespace_isolation": lambda s, d: _log(s, d).transform(kv.live).groupBy(hex_lower(F.col("ns")).alias("ns")).agg(F.count("*").alias("live_keys")),
         "kv_encoded_keys": lambda s, d: kv.live(_log(s, d)).select(hex_lower(encode_key(F.col("ns"), F.col("key"))).alias("encoded"), "lsn"),
-        "kv_text_values": lambda s, d: kv.live(_log(s, d)).select(hex_lower(F.col("key")).alias("key"), "lsn", text_or_null(F.col("key")).alias("key_text")),
+        "kv_text_values": lambda s, d: kv.live(_log(s, d)).select(hex_lower(F.col("key")).alias("key"), "lsn", text_or_null(F.col("value")).alias("value_text")),
         "ns_names": lambda s, d: t(s, d, "documents").select("ns").distinct().select("ns", slug(F.col("ns")).alias("slug"), vector_namespace(F.col("ns")).alias("vec_ns"), text_namespace(F.col("ns")).alias("text_ns")),
         # writes and life cycle
-        "tx_committed_view": lambda s, d: _hexed(kv.live(kv.committed(_event_log(s, d), _event_log(s, d).where("txid % 5 = 0").select("txid"))), *kvcols),
-        "flush_retained": lambda s, d: _hexed(kv.retained_after_flush(_event_log(s, d), 500_000), *kvcols),
+        "tx_committed_view": lambda s, d: _hexed(kv.live(kv.committed(_log(s, d), _log(s, d).where("txid % 5 = 0").select("txid"))), "ns", *kvcols),
+        "flush_retained": lambda s, d: _hexed(kv.retained_after_flush(_records(s, d), AS_OF), "ns", *kvcols, "seg_id"),
         "confirmed_lsn": lambda s, d: kv.confirmed_lsn(_live(s, d)),
         "strip_namespace": lambda s, d: kv.strip_namespaces(_log(s, d), b"__text__").groupBy(hex_lower(F.col("ns")).alias("ns")).agg(F.count_distinct("lsn").alias("records")),
         "delete_hidden": lambda s, d: _hexed(kv.newest(_log(s, d)).where("op = 2"), "ns", "key", "lsn"),
         # time to live, cohorts, compaction
-        "cohort_and_death": lambda s, d: _event_log(s, d).select("event_id", cohorts.cohort_bucket(F.col("ts_ns"), F.col("ttl_s"), WINDOW).alias("cohort_bucket"), cohorts.death_time(F.col("ts_ns"), F.col("ttl_s"), WINDOW, "window").alias("death_time")),
-        "segment_meta": lambda s, d: segments.segment_metadata(_event_log(s, d), WINDOW),
-        "segment_roots": lambda s, d: segments.segment_roots(_event_log(s, d)),
+        "cohort_and_death": lambda s, d: _records(s, d).select("lsn", "seg_id", cohorts.cohort_bucket(F.col("ts_ns"), F.col("ttl_s"), WINDOW).alias("cohort_bucket"), cohorts.death_time(F.col("ts_ns"), F.col("ttl_s"), WINDOW, "window").alias("death_time")),
+        "segment_meta": lambda s, d: segments.segment_metadata(_records(s, d), WINDOW),
+        "segment_roots": lambda s, d: segments.segment_roots(_log(s, d)),
         "cohorts": lambda s, d: cohorts.cohorts(_live(s, d), NOW),
         "expired_segments": lambda s, d: cohorts.expired_segments(_live(s, d), NOW).select("segment_id", "cohort_bucket"),
-        "compact_survivors": lambda s, d: _hexed(cohorts.compact_survivors(_event_log(s, d), WINDOW, EVENTS_NOW), "cohort_bucket", "key", "value", "lsn", "death_time"),
+        "compact_survivors": lambda s, d: _hexed(cohorts.compact_survivors(_records(s, d), WINDOW, NOW), "cohort_bucket", "ns", "key", "value", "lsn", "death_time"),
         "compact_plan": lambda s, d: cohorts.compact_plan(_live(s, d), NOW, 50_000_000),
         "compact_pinned": lambda s, d: cohorts.compact_plan(_live(s, d), NOW, 50_000_000, _live(s, d).where("segment_id % 3 = 0")),
-        "droppable_tombstones": lambda s, d: _hexed(cohorts.droppable_tombstones(_event_log(s, d))),
+        "droppable_tombstones": lambda s, d: _hexed(cohorts.droppable_tombstones(_log(s, d))),
         # vectors
         "vec_cosine_topk": _vec("cosine"),
         "vec_l2_topk": _vec("euclidean"),
@@ -119,6 +113,10 @@ def queries() -> dict[str, Query]:
         "vec_zero_norm": lambda s, d: vectors.top_k(t(s, d, "embeddings"), [0.0] * 64, 5, "cosine"),
         "vec_mismatch_skipped": lambda s, d: vectors.top_k(t(s, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))), _query_vector(s, d), 10, "l2"),
         "vec_batch_knn": lambda s, d: vectors.batch_knn(t(s, d, "embeddings"), t(s, d, "embeddings").where("vec_id % 50 = 0"), 10, "l2"),
+        "vec_nan_last": lambda s, d: vectors.top_k(t(s, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") > 5, F.transform("embedding", lambda x: x * F.lit(float("nan")))).otherwise(F.col("embedding"))), _query_vector(s, d), 10, "l2").select("vec_id", F.isnan("distance").alias("is_nan")),
+        "vec_search_stats": lambda s, d: vectors.search_with_stats(t(s, d, "embeddings"), _query_vector(s, d), 5, "cosine", F.length(F.col("vec_id").cast("string"))),
+        "vec_nodes": lambda s, d: _rounded(vectors.usable_nodes(t(s, d, "hnsw_nodes")).select("vector_id", "ns", "dims", "dtype", F.element_at("embedding", 1).alias("first"), F.element_at("embedding", -1).alias("last"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))),
+        "vec_count": lambda s, d: vectors.usable_nodes(t(s, d, "hnsw_nodes")).groupBy("ns").agg(F.count("*").alias("vectors")),
         "vec_page": lambda s, d: vectors.page(t(s, d, "embeddings"), 20, 100).select("vec_id", F.size("embedding").alias("dims")),
         "vec_search_cost": lambda s, d: vectors.search_cost(t(s, d, "embeddings"), F.length(F.col("vec_id").cast("string"))),
         "vec_sq8": lambda s, d: t(s, d, "embeddings").select("vec_id", F.concat_ws(",", scalar_quantized(doubles(F.col("embedding"))).cast("array<string>")).alias("codes")),
@@ -134,21 +132,25 @@ def queries() -> dict[str, Query]:
         "bm25_stats": lambda s, d: fulltext.search_stats(_docs(s, d), TEXT_QUERY),
         "bm25_after_delete": lambda s, d: fulltext.search(_docs(s, d).where("doc_id % 3 <> 0"), TEXT_QUERY, 20),
         "bm25_single_doc": lambda s, d: fulltext.score_document(_docs(s, d), TEXT_QUERY, _docs(s, d).where(F.lower("text").rlike(r"\bsegment\b")).agg(F.min("doc_id")).first()[0]),
+        "token_places": lambda s, d: fulltext.token_positions(_docs(s, d)),
+        "bm25_batch": lambda s, d: fulltext.search_many(fulltext.postings(_docs(s, d)), fulltext.documents_stats(_docs(s, d)), t(s, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5),
         "typo_candidates": lambda s, d: fulltext.typo_candidates(fulltext.postings(_docs(s, d)), ["segment", "vector", "cache"]),
         "snippets": lambda s, d: fulltext.snippets(_docs(s, d), "compaction", 20),
         # replicas, manifest, tiers
         "manifest_live": lambda s, d: _hexed(_live(s, d), "segment_id", "segment_hash", "min_key", "max_key", "min_lsn", "max_lsn", "record_count", "compressed_bytes", "cohort_bucket", "death_time"),
         "manifest_json": lambda s, d: segments.manifest_json(_live(s, d)),
         "missing_segments": lambda s, d: segments.missing_segments(_live(s, d), t(s, d, "peer_segments")).select("segment_id", "min_lsn", "max_lsn"),
-        "import_lww": lambda s, d: _hexed(segments.import_lww(_event_log(s, d).where("event_id % 3 <> 0"), _event_log(s, d).where("event_id % 3 <> 1")), "key", "value", "op", "ts_ns"),
-        "import_counts": lambda s, d: segments.import_counts(_event_log(s, d).where("event_id % 3 <> 0"), _event_log(s, d).where("event_id % 3 <> 1")),
+        "import_lww": lambda s, d: _hexed(segments.import_lww(_log(s, d).where("lsn % 3 <> 0"), _log(s, d).where("lsn % 3 <> 1")), "ns", "key", "value", "op", "ts_ns"),
+        "import_counts": lambda s, d: segments.import_counts(_log(s, d).where("lsn % 3 <> 0"), _log(s, d).where("lsn % 3 <> 1")),
         "merkle_ranges": lambda s, d: segments.range_roots(_live(s, d)),
         "merkle_diff": lambda s, d: segments.differing_ranges(segments.range_roots(_live(s, d)), segments.latest_answers(t(s, d, "merkle_responses")).where("host_name = 'peer'")),
-        "merkle_nibbles": lambda s, d: segments.nibble_roots(_live(s, d)),
-        "tier_range": lambda s, d: _hexed(segments.tiered(_event_log(s, d).where("seg_id >= 10"), _event_log(s, d).where("seg_id < 10")), "key", "value", "lsn"),
-        "tier_range_compat": lambda s, d: _hexed(segments.tiered(_event_log(s, d).where("seg_id >= 10"), _event_log(s, d).where("seg_id < 10"), compat=True), "key", "value", "lsn"),
+        "merkle_buckets": lambda s, d: segments.merkle_buckets(_live(s, d)),
+        "merkle_tree_root": lambda s, d: segments.merkle_tree_root(segments.merkle_buckets(_live(s, d))),
+        "merkle_buckets_diff": lambda s, d: segments.differing_buckets(segments.merkle_buckets(_live(s, d)), segments.merkle_buckets(segments.register_archived(t(s, d, "peer_segments")))),
+        "tier_range": lambda s, d: _hexed(segments.tiered(_log(s, d).where(HOT), _log(s, d).where(COLD)), "ns", "key", "value", "lsn"),
+        "tier_range_compat": lambda s, d: _hexed(segments.tiered(_log(s, d).where(HOT), _log(s, d).where(COLD), compat=True), "ns", "key", "value", "lsn"),
         "tier_overlap": lambda s, d: segments.overlapping(_live(s, d), encode_key(F.lit(bytearray(NS)), F.lit(bytearray(START))), encode_key(F.lit(bytearray(NS)), F.lit(bytearray(END)))).select("segment_id"),
-        "tier_registered": lambda s, d: segments.register_archived(t(s, d, "peer_segments").where("segment_hash is not null")).select("segment_id", "segment_hash"),
+        "tier_registered": lambda s, d: segments.register_archived(t(s, d, "peer_segments")).select("segment_id", "segment_hash"),
         "content_hashes": lambda s, d: _log(s, d).select("lsn", content_hash(F.col("value")).alias("hash")).distinct(),
         # upkeep of large logs
         "p2_found": lambda s, d: capture.pending(t(s, d, "wal_records"), t(s, d, "ingest_runs")).select("lsn"),
@@ -164,9 +166,7 @@ def queries() -> dict[str, Query]:
 
 _UNDAMAGED = "op IN (1, 2) AND sha256(coalesce(value_bytes, ''::BLOB)) = lower(hex(value_hash))"
 _LOG = f"log AS (SELECT ns_bytes AS ns, key_bytes AS key, value_bytes AS value, op, lsn, ts_ns, ttl_s, txid, segment_id AS seg_id FROM wal_records WHERE {_UNDAMAGED})"
-_EVENTS = """log AS (SELECT 'events'::BLOB AS ns, encode(lpad(CAST(user_id AS VARCHAR), 8, '0')) AS key, encode(event_type || ':' || CAST(event_id AS VARCHAR)) AS value,
- CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, (event_id * 7919) % 1000003 AS lsn, epoch_us(ts) * 1000 AS ts_ns, (event_id % 4) * 86400 AS ttl_s,
- event_id // 7 AS txid, event_id // 500 AS seg_id, event_id FROM events)"""
+_RECORDS = _LOG.replace("AS (SELECT ns_bytes", "AS (SELECT DISTINCT ns_bytes")
 _CONTENT = ", ".join(consolidate.CONTENT)
 _LIVE_SEGMENTS = """live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY entry_no DESC, entry_type) AS rn
  FROM segments WHERE segment_id IS NOT NULL AND entry_no IS NOT NULL) WHERE rn = 1 AND entry_type = 'Add')"""
@@ -197,6 +197,20 @@ SELECT doc_id, round(sum(score), 6) + 0.0 AS score FROM part GROUP BY doc_id ORD
 _TOKENS = r"""tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS terms FROM docs),
 exploded AS (SELECT doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS ord FROM tok),
 post AS (SELECT term, doc_id, count(*) AS tf, any_value(doc_len) AS doc_len FROM exploded JOIN (SELECT doc_id, len(terms) AS doc_len FROM tok) USING (doc_id) GROUP BY term, doc_id)"""
+#: Tokens with the character they start at: what lies before is the gaps and the tokens so far.
+_PLACES = r"""cut AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS ts, regexp_split_to_array(text, '[\p{L}\p{N}]+') AS gaps FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, text, ts, gaps, unnest(generate_series(1, len(ts))) AS i FROM cut WHERE len(ts) > 0),
+places AS (SELECT doc_id, text, lower(ts[i]) AS term, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ts[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos FROM numbered)"""
+#: Stored vectors from their bytes: little-endian elements of 4, 2 and 1 bytes, by sign, exponent and mantissa.
+_NODES = """raw AS (SELECT vector_id, ns, dims, dtype, coalesce(lsn, -1) AS lsn, hex(vector_data) AS h FROM hnsw_nodes
+ WHERE vector_id IS NOT NULL AND ns IS NOT NULL AND vector_data IS NOT NULL AND dims > 0 AND octet_length(vector_data) = dims * (CASE dtype WHEN 'F32' THEN 4 WHEN 'F16' THEN 2 WHEN 'I8' THEN 1 END)),
+whole AS (SELECT *, CASE dtype WHEN 'I8' THEN list_transform(generate_series(0, dims - 1), lambda i: CAST('0x' || substr(h, i * 2 + 1, 2) AS BIGINT))
+ WHEN 'F16' THEN list_transform(generate_series(0, dims - 1), lambda i: CAST('0x' || substr(h, i * 4 + 3, 2) || substr(h, i * 4 + 1, 2) AS BIGINT))
+ ELSE list_transform(generate_series(0, dims - 1), lambda i: CAST('0x' || substr(h, i * 8 + 7, 2) || substr(h, i * 8 + 5, 2) || substr(h, i * 8 + 3, 2) || substr(h, i * 8 + 1, 2) AS BIGINT)) END AS u FROM raw),
+valued AS (SELECT vector_id, ns, dims, dtype, lsn, CASE dtype WHEN 'I8' THEN list_transform(u, lambda x: CAST(CASE WHEN x > 127 THEN x - 256 ELSE x END AS DOUBLE))
+ WHEN 'F16' THEN list_transform(u, lambda x: CASE WHEN (x >> 10) & 31 = 31 THEN NULL ELSE (CASE WHEN x >> 15 = 1 THEN -1 ELSE 1 END) * (CASE WHEN (x >> 10) & 31 = 0 THEN (x & 1023) * pow(2.0, -24) ELSE (1 + (x & 1023) / 1024.0::DOUBLE) * pow(2.0, ((x >> 10) & 31) - 15) END) END)
+ ELSE list_transform(u, lambda x: CASE WHEN (x >> 23) & 255 = 255 THEN NULL ELSE (CASE WHEN x >> 31 = 1 THEN -1 ELSE 1 END) * (CASE WHEN (x >> 23) & 255 = 0 THEN (x & 8388607) * pow(2.0, -149) ELSE (1 + (x & 8388607) / 8388608.0::DOUBLE) * pow(2.0, ((x >> 23) & 255) - 127) END) END) END AS v FROM whole),
+nodes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vector_id ORDER BY lsn DESC, v) AS rn FROM valued WHERE list_count(v) = dims) WHERE rn = 1)"""
 _KV = "lower(hex(key)) AS key, lower(hex(value)) AS value, lsn"
 
 
@@ -223,6 +237,13 @@ def _cohort_sql(source: str) -> str:
  count(*) AS n_segments, coalesce({NOW} > max(death_time), false) AS expired FROM ({source}) GROUP BY cohort_bucket"""
 
 
+def _buckets(source: str, name: str) -> str:
+    return f"""{name}_groups AS (SELECT bucket, segment_id // 4096 AS part, sha256(string_agg(r, '' ORDER BY segment_id, r)) AS root FROM (SELECT segment_id, coalesce({_HASH.format(c='merkle_root')}, '') AS r,
+ CASE WHEN length(substr(hex(min_key), 5)) > 0 THEN coalesce(TRY_CAST('0x' || substr(hex(min_key), 5 + 2 * CAST('0x' || substr(hex(min_key), 1, 4) AS INTEGER), 1) AS INTEGER), 0) ELSE 0 END AS bucket FROM {source}) GROUP BY 1, 2),
+{name}_held AS (SELECT bucket, sha256(string_agg(root, '' ORDER BY part)) AS root FROM {name}_groups GROUP BY 1),
+{name} AS (SELECT CAST(range AS INTEGER) AS bucket, coalesce(root, repeat('0', 64)) AS root FROM range(16) LEFT JOIN {name}_held ON bucket = range)"""
+
+
 _HASH = "replace(lower(trim({c})), '0x', '')"
 _ROOT = "sha256(string_agg({h}, '' ORDER BY {h}))"
 _DEATH = f"ts_ns + CASE WHEN ttl_s = 0 THEN {WINDOW} ELSE ttl_s END * 1000000000"
@@ -267,24 +288,24 @@ s AS (SELECT *, CAST(sum(cost) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) AS B
         "kv_namespace_isolation": f"WITH {_LOG} SELECT lower(hex(ns)) AS ns, count(*) AS live_keys FROM {_newest()} WHERE op <> 2 GROUP BY 1",
         "kv_encoded_keys": f"WITH {_LOG} SELECT lower(hex({enc})) AS encoded, lsn FROM {_newest()} WHERE op <> 2",
         "ns_names": "SELECT DISTINCT ns, regexp_replace(ns, '[^A-Za-z0-9_-]', '_', 'g') AS slug, '__vec__' || ns AS vec_ns, '__text__' || ns AS text_ns FROM documents",
-        "tx_committed_view": f"WITH {_EVENTS} SELECT {_KV} FROM {_newest(where='txid NOT IN (SELECT txid FROM log WHERE txid % 5 = 0 AND txid <> 0)')} WHERE op <> 2",
-        "flush_retained": f"WITH {_EVENTS} SELECT {_KV} FROM log WHERE lsn > 500000",
+        "tx_committed_view": f"WITH {_LOG} SELECT lower(hex(ns)) AS ns, {_KV} FROM {_newest(where='coalesce(txid, 0) NOT IN (SELECT txid FROM log WHERE txid % 5 = 0 AND txid <> 0)')} WHERE op <> 2",
+        "flush_retained": f"WITH {_RECORDS} SELECT lower(hex(ns)) AS ns, {_KV}, seg_id FROM log WHERE lsn > {AS_OF}",
         "confirmed_lsn": f"WITH {_LIVE_SEGMENTS} SELECT coalesce(max(max_lsn), 0) AS confirmed_lsn FROM live",
         "strip_namespace": f"WITH {_LOG} SELECT lower(hex(ns)) AS ns, count(DISTINCT lsn) AS records FROM log WHERE NOT (ns >= '__text__'::BLOB AND ns < '__text`'::BLOB) GROUP BY 1",
         "delete_hidden": f"WITH {_LOG} SELECT {_hx('ns', 'key')}, lsn FROM {_newest()} WHERE op = 2",
-        "cohort_and_death": f"WITH {_EVENTS} SELECT event_id, {_BUCKET} AS cohort_bucket, {_DEATH} AS death_time FROM log",
-        "segment_meta": f"""WITH {_EVENTS}, k AS (SELECT *, {enc} AS ekey, {_BUCKET} AS bucket, {_DEATH} AS death FROM log)
+        "cohort_and_death": f"WITH {_RECORDS} SELECT lsn, seg_id, {_BUCKET} AS cohort_bucket, {_DEATH} AS death_time FROM log",
+        "segment_meta": f"""WITH {_RECORDS}, k AS (SELECT *, {enc} AS ekey, {_BUCKET} AS bucket, {_DEATH} AS death FROM log WHERE seg_id IS NOT NULL)
 SELECT seg_id, lower(hex(min(ekey))) AS min_key, lower(hex(max(ekey))) AS max_key, min(lsn) AS min_lsn, max(lsn) AS max_lsn, count(*) AS record_count,
  CAST(sum(octet_length(ekey) + coalesce(octet_length(value), 0)) AS BIGINT) AS bytes, arg_min(bucket, lower(hex(ekey)) || lpad(CAST(lsn AS VARCHAR), 12, '0')) AS cohort_bucket, max(death) AS death_time
 FROM k GROUP BY seg_id""",
-        "segment_roots": f"WITH {_EVENTS} SELECT seg_id, {root} AS merkle_root FROM (SELECT DISTINCT seg_id, sha256({enc}) AS h FROM log) GROUP BY seg_id",
+        "segment_roots": f"WITH {_LOG} SELECT seg_id, {root} AS merkle_root FROM (SELECT DISTINCT seg_id, sha256({enc}) AS h FROM log WHERE seg_id IS NOT NULL) GROUP BY seg_id",
         "cohorts": f"WITH {_LIVE_SEGMENTS} {_cohort_sql('SELECT * FROM live')}",
         "expired_segments": f"WITH {_LIVE_SEGMENTS} SELECT segment_id, cohort_bucket FROM live WHERE cohort_bucket IN (SELECT cohort_bucket FROM live GROUP BY 1 HAVING {NOW} > max(death_time))",
-        "compact_survivors": f"""WITH {_EVENTS}, b AS (SELECT *, {_BUCKET} AS cohort_bucket, {_DEATH} AS death_time FROM log)
-SELECT cohort_bucket, {_KV}, death_time FROM {_newest('b', keys='cohort_bucket, ns, key', order='lsn DESC')} WHERE op <> 2 AND death_time > {EVENTS_NOW}""",
+        "compact_survivors": f"""WITH {_RECORDS}, b AS (SELECT *, {_BUCKET} AS cohort_bucket, {_DEATH} AS death_time FROM log)
+SELECT cohort_bucket, lower(hex(ns)) AS ns, {_KV}, death_time FROM {_newest('b', keys='cohort_bucket, ns, key', order='lsn DESC')} WHERE op <> 2 AND death_time > {NOW}""",
         "compact_plan": _plan_sql("true"),
         "compact_pinned": _plan_sql("segment_id % 3 <> 0"),
-        "droppable_tombstones": f"WITH {_EVENTS} SELECT {_hx('ns', 'key')} FROM (SELECT ns, key, count(DISTINCT lsn) AS n, arg_max(op, lsn) AS last FROM log GROUP BY ns, key) WHERE n = 1 AND last = 2",
+        "droppable_tombstones": f"WITH {_LOG} SELECT {_hx('ns', 'key')} FROM (SELECT ns, key, count(DISTINCT lsn) AS n, arg_max(op, lsn) AS last FROM log GROUP BY ns, key) WHERE n = 1 AND last = 2",
         "vec_cosine_topk": _vec_sql("list_cosine_distance(v, qv)"),
         "vec_l2_topk": _vec_sql("list_distance(v, qv)"),
         "vec_dot_topk": _vec_sql("-list_inner_product(v, qv)"),
@@ -316,18 +337,40 @@ FROM post p JOIN wanted w ON p.term = w.term JOIN df ON p.term = df.term, stats
 SELECT q AS query_term, term FROM voc, (SELECT unnest(['segment', 'vector', 'cache']) AS q) WHERE abs(length(term) - length(q)) <= 1 AND regexp_full_match(term, '[ -~]+') AND levenshtein(term, q) = 1""",
         "manifest_live": f"WITH {_LIVE_SEGMENTS} SELECT segment_id, segment_hash, {_hx('min_key', 'max_key')}, min_lsn, max_lsn, record_count, compressed_bytes, cohort_bucket, death_time FROM live",
         "missing_segments": f"WITH {_LIVE_SEGMENTS} SELECT segment_id, min_lsn, max_lsn FROM peer_segments p WHERE NOT EXISTS (SELECT 1 FROM live l WHERE {_HASH.format(c='l.segment_hash')} = {_HASH.format(c='p.segment_hash')})",
-        "import_lww": f"""WITH {_EVENTS}, both_ AS (SELECT *, true AS loc FROM log WHERE event_id % 3 <> 0 UNION ALL SELECT *, false FROM log WHERE event_id % 3 <> 1)
-SELECT {_hx('key', 'value')}, CAST(op AS TINYINT) AS op, ts_ns FROM {_newest('both_', order='ts_ns DESC, loc DESC, lsn DESC')}""",
-        "import_counts": f"""WITH {_EVENTS}, mine AS (SELECT ns, key, max(ts_ns) AS m FROM log WHERE event_id % 3 <> 0 GROUP BY 1, 2), theirs AS (SELECT ns, key, max(ts_ns) AS x FROM log WHERE event_id % 3 <> 1 GROUP BY 1, 2)
+        "import_lww": f"""WITH {_LOG}, both_ AS (SELECT *, true AS loc FROM log WHERE lsn % 3 <> 0 UNION ALL SELECT *, false FROM log WHERE lsn % 3 <> 1)
+SELECT {_hx('ns', 'key', 'value')}, CAST(op AS TINYINT) AS op, ts_ns FROM {_newest('both_', order='ts_ns DESC, loc DESC, lsn DESC')}""",
+        "import_counts": f"""WITH {_LOG}, mine AS (SELECT ns, key, max(ts_ns) AS m FROM log WHERE lsn % 3 <> 0 GROUP BY 1, 2), theirs AS (SELECT ns, key, max(ts_ns) AS x FROM log WHERE lsn % 3 <> 1 GROUP BY 1, 2)
 SELECT CAST(coalesce(sum(CASE WHEN m IS NULL OR x > m THEN 1 ELSE 0 END), 0) AS BIGINT) AS written, CAST(coalesce(sum(CASE WHEN m IS NULL OR x > m THEN 0 ELSE 1 END), 0) AS BIGINT) AS skipped FROM theirs LEFT JOIN mine USING (ns, key)""",
         "merkle_ranges": f"WITH {_LIVE_SEGMENTS} {ranges}",
         "merkle_diff": f"""WITH {_LIVE_SEGMENTS}, a AS ({ranges}), b AS (SELECT range_no, {_HASH.format(c='root')} AS root FROM (SELECT *, row_number() OVER (PARTITION BY host_name, range_no ORDER BY probed_at DESC NULLS LAST, root NULLS LAST) AS rn FROM merkle_responses WHERE range_no IS NOT NULL) WHERE rn = 1 AND host_name = 'peer')
 SELECT range_no, a.root AS left_root, b.root AS right_root FROM a FULL JOIN b USING (range_no) WHERE a.root IS DISTINCT FROM b.root""",
-        "tier_range": f"WITH {_EVENTS} SELECT {_KV} FROM {_newest()} WHERE op <> 2",
-        "tier_range_compat": f"""WITH {_EVENTS}, hot AS (SELECT * FROM {_newest(where='seg_id >= 10')} WHERE op <> 2), cold AS (SELECT * FROM {_newest(where='seg_id < 10')} WHERE op <> 2)
-SELECT {_KV} FROM (SELECT * FROM hot UNION ALL SELECT * FROM cold c WHERE NOT EXISTS (SELECT 1 FROM hot h WHERE h.key = c.key))""",
+        "tier_range": f"WITH {_LOG} SELECT lower(hex(ns)) AS ns, {_KV} FROM {_newest()} WHERE op <> 2",
+        "tier_range_compat": f"""WITH {_LOG}, hot AS (SELECT * FROM {_newest(where=HOT)} WHERE op <> 2), cold AS (SELECT * FROM {_newest(where=COLD)} WHERE op <> 2)
+SELECT lower(hex(ns)) AS ns, {_KV} FROM (SELECT * FROM hot UNION ALL SELECT * FROM cold c WHERE NOT EXISTS (SELECT 1 FROM hot h WHERE h.ns = c.ns AND h.key = c.key))""",
         "tier_overlap": f"WITH {_LIVE_SEGMENTS} SELECT segment_id FROM live WHERE max_key >= '\\x00\\x05'::BLOB || {_blob(NS + START)} AND min_key < '\\x00\\x05'::BLOB || {_blob(NS + END)}",
-        "tier_registered": f"SELECT segment_id, segment_hash FROM (SELECT *, row_number() OVER (PARTITION BY {_HASH.format(c='segment_hash')} ORDER BY segment_id, segment_hash) AS rn FROM peer_segments WHERE segment_hash IS NOT NULL) WHERE rn = 1",
+        "tier_registered": f"SELECT segment_id, segment_hash FROM (SELECT *, row_number() OVER (PARTITION BY {_HASH.format(c='segment_hash')} ORDER BY segment_id, segment_hash) AS rn FROM peer_segments) WHERE rn = 1 OR segment_hash IS NULL",
+        "kv_text_values": f"WITH {_LOG} SELECT lower(hex(key)) AS key, lsn, TRY(decode(value)) AS value_text FROM {_newest()} WHERE op <> 2",
+        "manifest_json": f"""WITH {_LIVE_SEGMENTS} SELECT segment_id, '{{"format_version":1,"segment_id":' || segment_id || coalesce(',"hash":"' || {_HASH.format(c='segment_hash')} || '"', '') || coalesce(',"min_key":"' || lower(hex(min_key)) || '"', '')
+ || coalesce(',"max_key":"' || lower(hex(max_key)) || '"', '') || coalesce(',"min_lsn":' || min_lsn, '') || coalesce(',"max_lsn":' || max_lsn, '') || coalesce(',"record_count":' || record_count, '') || '}}' AS entry FROM live""",
+        "merkle_buckets": f"WITH {_LIVE_SEGMENTS}, {_buckets('live', 'b')} SELECT * FROM b",
+        "merkle_tree_root": f"WITH {_LIVE_SEGMENTS}, {_buckets('live', 'b')} SELECT sha256(string_agg(root, '' ORDER BY bucket)) AS root FROM b",
+        "merkle_buckets_diff": f"""WITH {_LIVE_SEGMENTS}, {_buckets('live', 'b')}, peer AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_HASH.format(c='segment_hash')} ORDER BY segment_id, segment_hash) AS rn FROM peer_segments) WHERE rn = 1 OR segment_hash IS NULL),
+{_buckets('peer', 'c')} SELECT bucket FROM b JOIN c USING (bucket) WHERE b.root <> c.root""",
+        "vec_nan_last": """WITH q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 7), d AS (SELECT vec_id, vec_id > 5 AS is_nan, CASE WHEN vec_id > 5 THEN NULL ELSE round(list_distance(embedding::DOUBLE[], qv), 6) END AS x FROM embeddings, q)
+SELECT vec_id, is_nan FROM d ORDER BY x NULLS LAST, vec_id LIMIT 10""",
+        "vec_search_stats": _vec_sql("list_cosine_distance(v, qv)", k=5).replace("SELECT vec_id, round", "SELECT vec_id, (SELECT count(*) FROM embeddings) AS items_examined, (SELECT CAST(sum(length(CAST(vec_id AS VARCHAR)) + len(embedding) * 4 + 3) AS BIGINT) FROM embeddings) AS bytes_read, round").replace("ORDER BY 2, 1", "ORDER BY 4, 1"),
+        "vec_nodes": f"WITH {_NODES} SELECT vector_id, ns, dims, dtype, round(v[1], 6) + 0.0 AS first, round(v[-1], 6) + 0.0 AS last, round(round(list_reduce(v, lambda a, x: a + x), 3), 6) + 0.0 AS total FROM nodes",
+        "vec_count": f"WITH {_NODES} SELECT ns, count(*) AS vectors FROM nodes GROUP BY ns",
+        "token_places": f"WITH {_PLACES} SELECT doc_id, term, CAST(pos AS INTEGER) AS pos FROM places",
+        "snippets": f"""WITH {_PLACES}, m AS (SELECT doc_id, pos, text, pos + length(regexp_extract(substr(text, pos + 1), '^[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]*')) AS stop FROM places WHERE term = 'compaction'),
+w AS (SELECT *, greatest(0, pos - 20) AS lo, least(length(text), stop + 20) AS hi FROM m)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(text, lo + 1, hi - lo) AS snippet, CAST(octet_length(encode(substr(text, lo + 1, pos - lo))) AS INTEGER) AS match_start,
+ CAST(octet_length(encode(substr(text, lo + 1, stop - lo))) AS INTEGER) AS match_end FROM w""",
+        "bm25_batch": f"""WITH docs AS (SELECT * FROM documents), {_TOKENS}, stats AS (SELECT count(*) AS n, sum(len(terms)) / count(*) AS avg_len FROM tok),
+asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM eval_items), weights AS (SELECT query_id, term, CAST(count(*) AS DOUBLE) AS weight FROM asked GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+scored AS (SELECT query_id, doc_id, round(sum(weight * ln((n - df + 0.5) / (df + 0.5) + 1.0) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 6) + 0.0 AS score FROM post JOIN weights USING (term) JOIN df USING (term), stats GROUP BY query_id, doc_id)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 5""",
         "content_hashes": f"WITH {_LOG} SELECT DISTINCT lsn, sha256(coalesce(value, ''::BLOB)) AS hash FROM log",
         "p2_found": f"WITH {pairs} SELECT lsn FROM pending",
         "p2_segments": f"""WITH {_LIVE_SEGMENTS}, {pairs}, held AS (SELECT segment_id, count(*) AS may_hold FROM live JOIN pending ON lsn BETWEEN min_lsn AND max_lsn GROUP BY 1)
