@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import contamination, mixing, neighbours, reading, terms
+from tidelog.plans.catalog import NODES
 from tidelog.session import table
 
 
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_mix": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_mix_report": lambda s, d: mixing.mix_report(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p10_found": lambda s, d: reading.demanding_documents(t(s, d, "documents")),
+        "p10_measures": lambda s, d: _rounded(reading.text_measures(t(s, d, "documents")).drop("vocabulary")),
         "p10_reading_levels": lambda s, d: reading.reading_levels(t(s, d, "documents")),
         "p10_level_profile": lambda s, d: reading.level_profile(t(s, d, "documents")),
     }
@@ -48,7 +50,44 @@ cur AS (SELECT ns, doc_id, lower(trim(term)) AS term, CAST(sum(coalesce(term_fre
 sizes AS (SELECT ns, arg_max(total_docs, coalesce(sidecar_lsn, -1)) AS total_docs FROM text_indexes GROUP BY ns),
 spread AS (SELECT ns, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS gf, sum(CASE WHEN tf > 0 THEN tf * ln(tf) ELSE 0 END) AS tlt FROM cur GROUP BY ns, term)
 """
-_WORDS = r"regexp_extract_all({text}, '\p{{L}}+')"
+#: Unit vectors of the usable rows: those of ``plans.catalog`` that aren't all zero, the newest of an id.
+_UNITS = NODES.replace("WHERE list_count(v) = dims", "WHERE list_count(v) = dims AND list_max(list_transform(v, lambda x: abs(x))) > 0")
+#: Text without fenced code, words, and sentences between marks.
+_MEASURED = r"""lines_ AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS x FROM documents),
+clean AS (SELECT doc_id, regexp_replace(x, '(?ms)^```[^\n]*(?:\n.*?(?:^```[^\n]*(?:\n|\z)|\z)|\z)', '', 'g') AS x FROM lines_),
+marked AS (SELECT doc_id, x, regexp_replace(regexp_replace(regexp_replace(x, '(?m)^(#|- |\* |\d+[.)] )', chr(1) || '\1', 'g'), '[.!?]([\s\x0b\p{Z}\x85]|\z)', chr(1) || '\1', 'g'), '\n[ \t]*\n', chr(10) || chr(1) || chr(10), 'g') AS m FROM clean),
+counted AS (SELECT doc_id, regexp_extract_all(x, '\p{L}+') AS w, len(regexp_extract_all(m, '\p{L}[^\x01]*')) AS sentences FROM marked),
+measured AS (SELECT doc_id, CAST(length(array_to_string(w, '')) AS INTEGER) AS letters, CAST(len(w) AS INTEGER) AS words, CAST(sentences AS INTEGER) AS sentences FROM counted),
+graded AS (SELECT *, CASE WHEN words > 0 THEN 4.71::DOUBLE * letters / words + 0.5::DOUBLE * words / sentences - 21.43::DOUBLE END AS grade FROM measured)"""
+#: Full-width forms and ligatures with what they stand for. Fixed values.
+_WIDE, _NARROW = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+_JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "æ": "ae", "œ": "oe", "ß": "ss", "ø": "o", "ł": "l", "đ": "d", "ı": "i"}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _words_sql(text: str) -> str:
+    """Comparable words of a text."""
+    out = f"regexp_replace({text}, '\\x{{AD}}[ \\t]*(\\r\\n?|\\n)[ \\t]*', '', 'g')"
+    out = f"translate({out}, {_quoted(_WIDE)}, {_quoted(_NARROW)})"
+    out = f"lower(strip_accents({out}))"
+    for a, b in _JOINED.items():
+        out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
+    out = f"regexp_replace({out}, '[\\p{{Cf}}\\p{{Mn}}\\p{{Me}}]', '', 'g')"
+    out = f"replace(replace({out}, chr(8208), '-'), chr(8209), '-')"
+    out = f"regexp_replace({out}, '(?s)<!--.*?-->|</?[a-z][^<>]*>', '', 'g')"
+    out = f"regexp_replace({out}, '\\]\\([^()\\s]*\\)', '', 'g')"
+    out = f"regexp_replace({out}, '([\\p{{L}}\\p{{N}}])-[ \\t]*(\\r\\n?|\\n)[ \\t]*([\\p{{L}}\\p{{N}}])', '\\1\\3', 'g')"
+    out = f"regexp_replace({out}, '([\\p{{L}}\\p{{N}}])[*`~]+([\\p{{L}}\\p{{N}}])', '\\1\\2', 'g')"
+    return f"regexp_extract_all({out}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _grams_sql(table: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 9], ' ') AS gram FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - 9)) AS i FROM (SELECT {key}, {_words_sql('text')} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 10)"""
+
+
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,6 +106,13 @@ weighted AS (SELECT ns, term, total_docs, greatest(0.0, CASE WHEN gf > 0 THEN ln
 global AS (SELECT *, CASE WHEN total_docs > 1 THEN greatest(0.0, least(1.0, 1 - entropy / ln(total_docs))) WHEN total_docs = 1 THEN 0.0 END AS global_weight FROM weighted),
 rows_ AS (SELECT ns, doc_id, term, round(ln(1.0 + tf) * global_weight, 6) + 0.0 AS weight FROM cur JOIN global USING (ns, term))
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ns, doc_id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM rows_ WHERE weight IS NOT NULL) WHERE rank <= 5""",
+        "p6_found": f"""WITH {_UNITS},
+near AS (SELECT a.vector_id AS i, b.vector_id AS j, list_cosine_similarity(a.v, b.v) AS s FROM nodes a JOIN nodes b ON a.ns = b.ns AND a.dims = b.dims AND a.vector_id <> b.vector_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS rn FROM near)
+SELECT DISTINCT least(i, j) AS vector_id_a, greatest(i, j) AS vector_id_b FROM best WHERE rn <= 10 AND s >= 0.9""",
+        "p8_found": f"WITH d AS ({_grams_sql('documents', 'doc_id')}), e AS ({_grams_sql('eval_items', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (gram)",
+        "p10_found": f"WITH {_MEASURED} SELECT doc_id FROM graded WHERE words >= 40 AND grade >= 16",
+        "p10_measures": f"WITH {_MEASURED} SELECT doc_id, letters, words, sentences, round(grade, 6) + 0.0 AS grade FROM graded",
         "p7_found": f"""WITH {_CURRENT}
 SELECT ns, term FROM spread LEFT JOIN sizes USING (ns) WHERE gf < 3 OR df * 100 > total_docs * 30""",
         "p7_frequencies": f"""WITH {_CURRENT}
