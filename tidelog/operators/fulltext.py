@@ -146,10 +146,16 @@ def _positioned_postings(documents: DataFrame, lang: str | Column | None) -> Dat
 def postings(documents: DataFrame, lang: str | Column | None = None, positions: bool = False) -> DataFrame:
     """``term``, ``doc_id``, ``tf``, ``doc_len`` of every document.
 
-    With ``positions`` also these; a document is then one row, and ``lang`` may be a column.
+    With ``positions`` also these; ``lang`` may then be a column.  A document is one
+    row.  Without stems its length is known before its tokens are taken apart, so
+    one exchange does.
     """
     if positions:
         return _positioned_postings(documents, lang)
+    if not lang:
+        arrays = spread(documents.select("doc_id", "text")).select("doc_id", token_array(F.col("text")).alias("_t"))
+        apart = arrays.select("doc_id", F.size("_t").cast("bigint").alias("doc_len"), F.explode("_t").alias("term"))
+        return apart.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")).select("doc_id", "term", "tf", "doc_len")
     counted = tokens(documents, lang).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
     return counted.join(lengths, "doc_id")

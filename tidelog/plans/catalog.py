@@ -202,7 +202,7 @@ _PLACES = r"""cut AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}
 numbered AS (SELECT doc_id, text, ts, gaps, unnest(generate_series(1, len(ts))) AS i FROM cut WHERE len(ts) > 0),
 places AS (SELECT doc_id, text, lower(ts[i]) AS term, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ts[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos FROM numbered)"""
 #: Stored vectors from their bytes: little-endian elements of 4, 2 and 1 bytes, by sign, exponent and mantissa.
-_NODES = """raw AS (SELECT vector_id, ns, dims, dtype, coalesce(lsn, -1) AS lsn, hex(vector_data) AS h FROM hnsw_nodes
+NODES = """raw AS (SELECT vector_id, ns, dims, dtype, coalesce(lsn, -1) AS lsn, hex(vector_data) AS h FROM hnsw_nodes
  WHERE vector_id IS NOT NULL AND ns IS NOT NULL AND vector_data IS NOT NULL AND dims > 0 AND octet_length(vector_data) = dims * (CASE dtype WHEN 'F32' THEN 4 WHEN 'F16' THEN 2 WHEN 'I8' THEN 1 END)),
 whole AS (SELECT *, CASE dtype WHEN 'I8' THEN list_transform(generate_series(0, dims - 1), lambda i: CAST('0x' || substr(h, i * 2 + 1, 2) AS BIGINT))
  WHEN 'F16' THEN list_transform(generate_series(0, dims - 1), lambda i: CAST('0x' || substr(h, i * 4 + 3, 2) || substr(h, i * 4 + 1, 2) AS BIGINT))
@@ -359,8 +359,8 @@ SELECT lower(hex(ns)) AS ns, {_KV} FROM (SELECT * FROM hot UNION ALL SELECT * FR
         "vec_nan_last": """WITH q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 7), d AS (SELECT vec_id, vec_id > 5 AS is_nan, CASE WHEN vec_id > 5 THEN NULL ELSE round(list_distance(embedding::DOUBLE[], qv), 6) END AS x FROM embeddings, q)
 SELECT vec_id, is_nan FROM d ORDER BY x NULLS LAST, vec_id LIMIT 10""",
         "vec_search_stats": _vec_sql("list_cosine_distance(v, qv)", k=5).replace("SELECT vec_id, round", "SELECT vec_id, (SELECT count(*) FROM embeddings) AS items_examined, (SELECT CAST(sum(length(CAST(vec_id AS VARCHAR)) + len(embedding) * 4 + 3) AS BIGINT) FROM embeddings) AS bytes_read, round").replace("ORDER BY 2, 1", "ORDER BY 4, 1"),
-        "vec_nodes": f"WITH {_NODES} SELECT vector_id, ns, dims, dtype, round(v[1], 6) + 0.0 AS first, round(v[-1], 6) + 0.0 AS last, round(round(list_reduce(v, lambda a, x: a + x), 3), 6) + 0.0 AS total FROM nodes",
-        "vec_count": f"WITH {_NODES} SELECT ns, count(*) AS vectors FROM nodes GROUP BY ns",
+        "vec_nodes": f"WITH {NODES} SELECT vector_id, ns, dims, dtype, round(v[1], 6) + 0.0 AS first, round(v[-1], 6) + 0.0 AS last, round(round(list_reduce(v, lambda a, x: a + x), 3), 6) + 0.0 AS total FROM nodes",
+        "vec_count": f"WITH {NODES} SELECT ns, count(*) AS vectors FROM nodes GROUP BY ns",
         "token_places": f"WITH {_PLACES} SELECT doc_id, term, CAST(pos AS INTEGER) AS pos FROM places",
         "snippets": f"""WITH {_PLACES}, m AS (SELECT doc_id, pos, text, pos + length(regexp_extract(substr(text, pos + 1), '^[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]*')) AS stop FROM places WHERE term = 'compaction'),
 w AS (SELECT *, greatest(0, pos - 20) AS lo, least(length(text), stop + 20) AS hi FROM m)
