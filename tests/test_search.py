@@ -158,3 +158,11 @@ def test_stored_vectors_of_all_types(spark):
     rows += [(4, "n", 2, "F32", b"123", 1), (5, "n", 2, "F32", np.array([np.nan, 1], "<f4").tobytes(), 1), (6, "n", 2, "X", b"12", 1), (7, "n", None, "I8", b"12", 1), (2, "n", 2, "F16", b"", 9)]
     df = spark.createDataFrame(rows, "vector_id bigint, ns string, dims int, dtype string, vector_data binary, lsn bigint")
     assert tuples(vectors.usable_nodes(df), "vector_id", "embedding") == [(1, [1.0, 2.0]), (2, [1.0, 3.0]), (3, [-1.0, 2.0])]
+
+
+def test_one_edit_is_levenshtein_of_one(spark):
+    import itertools
+
+    words = ["".join(w) for n in range(4) for w in itertools.product("ab", repeat=n)] + ["é", "cafe", "café"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    assert [fulltext.one_edit(r["a"], r["b"]) for r in df.select("a", "b", F.levenshtein("a", "b").alias("d")).collect()] == [r["d"] == 1 for r in df.select(F.levenshtein("a", "b").alias("d")).collect()]

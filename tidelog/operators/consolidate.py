@@ -187,8 +187,10 @@ def consolidated_segments(entries: DataFrame, wal: DataFrame) -> DataFrame:
 def consolidated_totals(entries: DataFrame, wal: DataFrame) -> DataFrame:
     """One row on the new files together: records, LSN and key bounds, copies left out."""
     done = consolidate(entries, wal)
-    given = done.sources.agg(F.count("*").alias("segments"), F.coalesce(F.sum("records"), F.lit(0)).alias("given"))
+    segments, given = done.sources.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0))).first()
+    kinds = {"stored": "bigint", "min_lsn": "bigint", "max_lsn": "bigint", "min_key": "string", "max_key": "string"}
     if done.files is None:
-        return given.select("segments", "given", F.lit(0).cast("bigint").alias("stored"), *[F.lit(None).cast(t).alias(c) for c, t in (("min_lsn", "bigint"), ("max_lsn", "bigint"), ("min_key", "string"), ("max_key", "string"))])
-    new = done.files.agg(F.sum("record_count").alias("stored"), F.min("min_lsn").alias("min_lsn"), F.max("max_lsn").alias("max_lsn"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
-    return given.join(F.broadcast(new), F.lit(True))  # one row by one row
+        new = wal.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("stored"), *[F.lit(None).cast(t).alias(c) for c, t in list(kinds.items())[1:]])
+    else:
+        new = done.files.agg(F.sum("record_count").alias("stored"), *[(F.min if c.startswith("min") else F.max)(c).alias(c) for c in list(kinds)[1:]])
+    return new.select(F.lit(segments).cast("bigint").alias("segments"), F.lit(given).cast("bigint").alias("given"), *kinds)

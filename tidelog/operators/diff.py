@@ -10,9 +10,10 @@ them, are settled by that aggregate alone.  Other groups are assigned exactly, a
 a transport of copies between distinct rows: up to ``exact_limit`` squared pairs
 of distinct rows in one task, and a few rows against very many by picking in
 parallel those of the larger side that a least assignment can need.  Groups with
-more distinct rows on both sides than that are assigned in blocks of their order,
-then in blocks of other orders as long as that makes the pairing cheaper: every
-row is reported, but such a pairing is not proven least.
+more distinct rows on both sides than that are assigned in blocks of their order;
+poor pairs are taken apart and assigned again in blocks of other orders, which
+stands if it is cheaper: every row is reported, but such a pairing is not proven
+least.
 
 Defined cases: two nulls are equal, null differs from a value; rows with a null
 key are compared like others; empty sides give only missing rows; other columns
@@ -35,7 +36,7 @@ from tidelog.session import materialise
 #: Distinct rows of a group, both sides, that one task takes; of larger ones it takes the rows near the smaller side.
 GROUP_ROWS = 16_384
 #: Copies of a block, where a group is beyond the exact ways, and most rounds of blocks in other orders.
-BLOCK_ROWS, ROUNDS = 2_048, 6
+BLOCK_ROWS, ROUNDS = 2_048, 8
 
 
 def least_transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> list[tuple[int, int, int]]:
@@ -269,38 +270,41 @@ def _in_blocks(rows: DataFrame, order: list[str], amount: str, size: int) -> Dat
     return cut.withColumn(amount, inside).drop("_end", "_base", "_from", "_to")
 
 
-def _pair_in_blocks(many: DataFrame, fields: int, size: int) -> DataFrame:
-    """Pairs of groups too large to be assigned at once; see the module.  A block holds at most ``size`` copies."""
+def _assigned(rows: DataFrame, fields: int, size: int, lead: int) -> DataFrame:
+    """Pairs of rows ``_l``, ``_r``: blocks in the order that begins with field ``lead`` are assigned, what is alone then meets by rank."""
     run = _assign(fields)
-    moved = _in_blocks(many.withColumn("_n", F.col("_l") + F.col("_r")), ["_row"], "_n", size)
-    moved = moved.withColumns({"_l": F.when(F.col("_l") > 0, F.col("_n")).otherwise(0), "_r": F.when(F.col("_r") > 0, F.col("_n")).otherwise(0)}).drop("_n")
+    turned = F.concat(F.slice("_row", lead + 1, fields), F.slice("_row", 1, max(1, lead)))
+    cut = _in_blocks(rows.withColumn("_n", F.col("_l") + F.col("_r")).withColumn("_order", turned), ["_order", "_row"], "_n", size).drop("_order")
+    moved = cut.withColumns({"_l": F.when(F.col("_l") > 0, F.col("_n")).otherwise(0), "_r": F.when(F.col("_r") > 0, F.col("_n")).otherwise(0)}).drop("_n")
     pairs = materialise(moved.groupBy("_key", "_block").applyInPandas(run, PAIRS), "blocks")
-    # what is alone on either side meets by rank
     lone = pairs.where("_left is null or _right is null")
     side = lambda own, l, r: _in_blocks(lone.where(f"{own} is not null").select("_key", F.col(own).alias("_row"), F.col("_copies").alias("_n")), ["_row"], "_n", size).select("_key", "_block", "_row", (F.col("_n") * l).alias("_l"), (F.col("_n") * r).alias("_r"))
     late = side("_left", 1, 0).unionByName(side("_right", 0, 1)).groupBy("_key", "_block").applyInPandas(run, PAIRS)
-    pairs = materialise(pairs.where("_left is not null and _right is not null").unionByName(late), "pairs")
-
-    def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The pairs of a block, assigned anew: their rows, at no higher cost."""
-        sides = [pdf.loc[pdf[c].notna(), [c, "_copies"]].rename(columns={c: "_row"}) for c in ("_left", "_right")]
-        return run(pd.concat([sides[0].assign(_l=sides[0]["_copies"], _r=0), sides[1].assign(_l=0, _r=sides[1]["_copies"])]).assign(_key=[pdf["_key"].iloc[0]] * sum(map(len, sides))))
-
-    dearer = F.size(F.filter(F.arrays_zip(F.col("_left").alias("l"), F.col("_right").alias("r")), lambda x: ~x["l"].eqNullSafe(x["r"])))
-    total = pairs.where("_left is not null and _right is not null").agg(F.sum(dearer * F.col("_copies")))
-    cost = total.first()[0] or 0
-    for turn in range(ROUNDS):  # orders that begin with other fields, of the left rows and the right ones by turns
-        lead = (turn // 2 + 1) * max(1, fields // (ROUNDS // 2 + 1)) % max(1, fields)
-        own, other = ("_left", "_right") if turn % 2 == 0 else ("_right", "_left")
-        turned = lambda c: F.concat(F.slice(c, lead + 1, fields), F.slice(c, 1, max(1, lead)))
-        order = F.coalesce(turned(own), turned(other))
-        cut = _in_blocks(pairs.withColumn("_order", order), ["_order", "_left", "_right"], "_copies", size).drop("_order")
-        newer = materialise(cut.groupBy("_key", "_block").applyInPandas(again, PAIRS), "pairs")
-        now = newer.where("_left is not null and _right is not null").agg(F.sum(dearer * F.col("_copies"))).first()[0] or 0
-        pairs = newer
-        if now * 1000 > cost * 999:
+    return materialise(pairs.where("_left is not null and _right is not null").unionByName(late), "pairs")
+
+
+def _pair_in_blocks(many: DataFrame, fields: int, size: int) -> DataFrame:
+    """Pairs of groups too large to be assigned at once; see the module.
+
+    Pairs unlike in more than half of their fields, and rows that are alone, are
+    taken apart and assigned anew in the order of other fields; the new pairs
+    stand if they are cheaper.
+    """
+    unlike = F.size(F.filter(F.arrays_zip(F.col("_left").alias("l"), F.col("_right").alias("r")), lambda x: ~x["l"].eqNullSafe(x["r"])))
+    both = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    cost = lambda df: df.agg(F.sum(F.when(both, unlike * F.col("_copies")).otherwise(0))).first()[0] or 0
+    pairs = _assigned(many, fields, size, 0)
+    turns = min(ROUNDS, fields - 1)
+    for turn in range(1, turns + 1):
+        poor = pairs.where(~both | (unlike * 2 > fields))
+        before = cost(poor)
+        if not before:
             break
-        cost = now
+        rows = poor.where("_left is not null").select("_key", F.col("_left").alias("_row"), F.col("_copies").alias("_l"), F.lit(0).cast("bigint").alias("_r"))
+        rows = rows.unionByName(poor.where("_right is not null").select("_key", F.col("_right").alias("_row"), F.lit(0).cast("bigint").alias("_l"), F.col("_copies").alias("_r")))
+        newer = _assigned(rows, fields, size, turn * fields // (turns + 1))
+        if cost(newer) < before:
+            pairs = materialise(pairs.where(both & (unlike * 2 <= fields)).unionByName(newer), "pairs")
     return pairs
 
 

@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidelog.functions.stem import STEMMERS
-from tidelog.session import spread
+from tidelog.session import materialise, spread
 
 K1, B = 1.2, 0.75
 TYPO_WEIGHT = 0.5
@@ -27,6 +28,8 @@ TYPO_WEIGHT = 0.5
 LITERAL_TERMS = 100
 #: Postings with positions that a task hands on at a time, but for a document's rest.
 POSTINGS_AT_ONCE = 50_000
+#: Numbers of a block of queries, documents of a task of theirs and of one product.
+QUERY_CELLS, DOCS_AT_ONCE, CHUNK_DOCS = 4_000_000, 4_096, 256
 #: Runs of letters and digits, as the JVM and as Python write it.
 TOKEN = r"[\p{IsAlphabetic}\p{N}]+"
 _RUN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
@@ -222,10 +225,9 @@ def facet_filter(facets: dict, columns: dict[str, str]) -> Column:
 def scores(documents: DataFrame, query: str, lang: str | None = None, facets: dict | None = None, typo: bool = False, index: DataFrame | None = None, stats: tuple[int, float] | None = None, only=None) -> DataFrame:
     """``doc_id``, ``score`` of every match (of the document ``only`` if given); df and N are taken before facets.
 
-    A query without stems needs no index and no shuffle: one aggregate gives N,
-    lengths and the few document frequencies, then every document is scored where
-    it is read; typos take one more scan for the terms that occur.  Stems go by
-    postings; ``index`` and ``stats`` reuse some written earlier, of which only
+    A query without stems needs no index and no shuffle of texts: one scan gives N,
+    lengths and the frequencies of the query's terms and of what is one edit away,
+    then every document is scored where it is read.  Stems go by postings; ``index`` and ``stats`` reuse some written earlier, of which only
     those of the query's terms are read.
     """
     spark = documents.sparkSession
@@ -234,11 +236,12 @@ def scores(documents: DataFrame, query: str, lang: str | None = None, facets: di
         return documents.select("doc_id").limit(0).withColumn("score", F.lit(0.0))
     if not lang and index is None:
         weights = {t: float(terms.count(t)) for t in terms}
+        n, total, df = _scan_counts(documents, list(weights), typo)
         if typo:
-            for q, t in _typos_in(documents, terms):
+            for q, t in ((q, t) for q in dict.fromkeys(terms) for t in df if one_edit(q, t)):
                 weights[t] = weights.get(t, 0.0) + TYPO_WEIGHT * terms.count(q)
         if len(weights) <= LITERAL_TERMS:
-            return _scan_scores(documents, weights, facets, only)
+            return _scan_scores(documents, weights, (n, total / n if n else 0.0), df, facets, only)
     index = postings(documents, lang) if index is None else index
     n, avg_len = stats or documents_stats(documents, lang)
     weights = _weights(index, terms, typo)
@@ -258,24 +261,39 @@ def _occurrences(term: str) -> Column:
     return F.size(F.filter("_t", lambda x: x == F.lit(term)))
 
 
-def _typos_in(documents: DataFrame, terms: list[str]) -> list[tuple[str, str]]:
-    """(query term, term one edit away) that occur: of a query's few terms, so few themselves."""
-    close = lambda x: reduce(lambda a, b: a | b, ((F.abs(F.length(x) - len(t)) <= 1) & (F.levenshtein(x, F.lit(t), 1) == 1) for t in dict.fromkeys(terms)))
-    found = spread(documents.select("text")).select(F.explode(F.filter(token_array(F.col("text")), close)).alias("term")).distinct()
-    return [tuple(r) for r in typo_candidates(found, terms).collect()]
+def one_edit(a: str, b: str) -> bool:
+    """Whether two words are one insertion, deletion or change of a character apart."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[same + (len(a) == len(b)) :] == b[same + 1 :]
 
 
-def _scan_scores(documents: DataFrame, weights: dict[str, float], facets: dict | None, only=None) -> DataFrame:
+def _scan_counts(documents: DataFrame, terms: list[str], typo: bool) -> tuple[int, int, dict[str, int]]:
+    """Documents, tokens, and in how many documents each wanted term is: of a query's few terms, so few themselves."""
+    wanted = lambda x: x.isin(terms)
+    if typo:
+        wanted = lambda x: reduce(lambda a, b: a | b, ((F.abs(F.length(x) - len(t)) <= 1) & F.levenshtein(x, F.lit(t), 1).between(0, 1) for t in terms))
+    read = spread(documents.select("text")).select(token_array(F.col("text")).alias("_t"))
+    # an empty word, which no token is, stands for the document itself
+    each = read.select(F.size("_t").alias("_n"), F.explode(F.array_append(F.array_distinct(F.filter("_t", wanted)), "")).alias("_w"))
+    counts = {r[0]: (r[1], r[2]) for r in each.groupBy("_w").agg(F.count("*"), F.sum("_n")).collect()}
+    n, total = counts.pop("", (0, 0))
+    return n, total, {w: c for w, (c, _) in counts.items()}
+
+
+def _scan_scores(documents: DataFrame, weights: dict[str, float], stats: tuple[int, float], df: dict[str, int], facets: dict | None, only=None) -> DataFrame:
     columns = list(dict.fromkeys(["doc_id", "text", *(c for c in (facets or {}) if c in documents.columns)]))
     read = spread(documents.select(*columns)).withColumn("_t", token_array(F.col("text")))
-    row = read.agg(F.count("*"), F.coalesce(F.sum(F.size("_t")), F.lit(0)), *[F.count_if(F.array_contains("_t", t)) for t in weights]).first()
-    n, avg_len, df = row[0], (row[1] / row[0] if row[0] else 0.0), dict(zip(weights, row[2:]))
+    n, avg_len = stats
     if facets:
         read = read.where(facet_filter(facets, dict(documents.dtypes)))
     if only is not None:
         read = read.where(F.col("doc_id") == only)
     counted = read.select("doc_id", F.size("_t").alias("_len"), *[_occurrences(t).alias(f"_tf{i}") for i, t in enumerate(weights)])
-    parts = [F.lit(w) * bm25(F.col(f"_tf{i}"), F.col("_len"), F.lit(df[t]), n, avg_len) for i, (t, w) in enumerate(weights.items())]
+    parts = [F.lit(w) * bm25(F.col(f"_tf{i}"), F.col("_len"), F.lit(df.get(t, 0)), n, avg_len) for i, (t, w) in enumerate(weights.items())]
     hit = reduce(lambda a, b: a | b, (F.col(f"_tf{i}") > 0 for i in range(len(weights))))
     return counted.where(hit).select("doc_id", reduce(lambda a, b: a + b, parts).alias("score"))
 
@@ -305,22 +323,74 @@ def score_document(documents: DataFrame, query: str, doc_id: int, lang: str | No
 def search_many(index: DataFrame, stats: tuple[int, float], queries: DataFrame, k: int, lang: str | None = None) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``, ``rank``: the ``k`` best documents of each row of ``queries`` (``query_id``, ``query``).
 
-    One job for all queries over postings (``term``, ``doc_id``, ``tf``, ``doc_len``):
-    queries are terms with weights, joined by term.  A term with very many postings
-    is split by AQE on either side of that join; sums and ranks are reduced before
-    they move.  A null query finds nothing; ids of queries should be unique.
+    The stated queries go to the tasks as matrices of queries by terms, in blocks
+    of at most ``QUERY_CELLS`` numbers.  Postings (``term``, ``doc_id``, ``tf``,
+    ``doc_len``) of their terms are weighted once, brought together by document and
+    multiplied with them, many documents at a time; a task hands on the best ``k``
+    of each query, ties included.  So what moves are the postings and not the pairs
+    of query and document.  A null query finds nothing; ids of queries are unique.
     """
     asked = queries.where("query is not null").select("query_id", F.explode(token_array(F.col("query"))).alias("term"))
     if lang:
         asked = stemmed(asked.where(~F.col("term").isin(stopwords(queries.sparkSession, lang))), lang)
-    weights = asked.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    weights = materialise(asked.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight")), "weights")
     hits = index.join(weights.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "tf", "doc_len")
+    hits = materialise(hits, "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n, avg_len = stats
-    part = F.col("weight") * bm25(F.col("tf"), F.col("doc_len"), F.col("df"), n, avg_len)
-    scored = hits.join(weights.join(df, "term"), "term").groupBy("query_id", "doc_id").agg((F.round(F.sum(part), 6) + F.lit(0.0)).alias("score"))
+    weighed = hits.join(df, "term").select("term", "doc_id", bm25(F.col("tf"), F.col("doc_len"), F.col("df"), n, avg_len).alias("part"))
+    buckets = max(1, -(-n // DOCS_AT_ONCE))
+    weighed = weighed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    kinds = {"query_id": weights.schema["query_id"].dataType.simpleString(), "doc_id": index.schema["doc_id"].dataType.simpleString()}
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
+
+    def best(ids: list, terms: dict[str, int], matrix: np.ndarray):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            column = pdf["term"].map(terms)
+            pdf, column = pdf[column.notna()], column.dropna().to_numpy(dtype=np.int64)
+            codes, docs = pd.factorize(pdf["doc_id"])
+            part, out = pdf["part"].to_numpy(), []
+            for at in range(0, len(docs), CHUNK_DOCS):
+                inside = (codes >= at) & (codes < at + CHUNK_DOCS)
+                values = np.zeros((len(terms), min(CHUNK_DOCS, len(docs) - at)))
+                values[column[inside], codes[inside] - at] = part[inside]
+                score = np.round(matrix @ values, 6) + 0.0
+                least = np.partition(score, -k, axis=1)[:, [-k]] if score.shape[1] > k else 0.0
+                q, d = np.nonzero((score >= least) & (score > 0))
+                out.append(pd.DataFrame({"query_id": [ids[i] for i in q], "doc_id": docs[at + d], "score": score[q, d]}))
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+
+        return run
+
+    found = None
+    for ids, terms, matrix in _query_blocks(weights) if k > 0 else ():
+        part = weighed.groupBy("_bucket").applyInPandas(best(ids, terms, matrix), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], schema)
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+def _query_blocks(weights: DataFrame):
+    """(query ids, number of each term, weights) of as many queries at a time as ``QUERY_CELLS`` allows, one at least."""
+    ids, terms, cells = [], {}, []
+
+    def block():
+        matrix = np.zeros((len(ids), len(terms)))
+        for q, t, w in cells:
+            matrix[q, t] = w
+        return ids, terms, matrix
+
+    for r in weights.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms")).toLocalIterator():
+        more = len(terms) + sum(t["term"] not in terms for t in r["terms"])
+        if ids and (len(ids) + 1) * more > QUERY_CELLS:
+            yield block()
+            ids, terms, cells = [], {}, []
+        cells += [(len(ids), terms.setdefault(t["term"], len(terms)), t["weight"]) for t in r["terms"]]
+        ids.append(r["query_id"])
+    if ids:
+        yield block()
 
 
 def snippets(documents: DataFrame, query: str, context: int = 30, lang: str | None = None) -> DataFrame:

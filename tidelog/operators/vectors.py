@@ -143,8 +143,9 @@ def search(vectors: DataFrame, query, k: int, metric: str = "cosine", index=None
 
 def search_with_stats(vectors: DataFrame, query, k: int, metric: str, key_bytes: Column, id_col: str = "vec_id", vec_col: str = "embedding", element_bytes: int = 4) -> DataFrame:
     """``top_k`` with what the flat search read beside each row: ``items_examined`` and ``bytes_read``."""
-    cost = search_cost(vectors, key_bytes, vec_col, element_bytes)
-    return top_k(vectors, query, k, metric, id_col, vec_col).crossJoin(F.broadcast(cost))  # k rows by one row
+    items, size = search_cost(vectors, key_bytes, vec_col, element_bytes).first()
+    cost = {"items_examined": F.lit(items).cast("bigint"), "bytes_read": F.lit(size).cast("bigint")}
+    return top_k(vectors, query, k, metric, id_col, vec_col).withColumns(cost)
 
 
 class CellIndex:

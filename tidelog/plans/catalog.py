@@ -23,10 +23,11 @@ from tidelog.session import table as t
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Arguments of the queries, shared with their SQL.
-NS, START, END, PREFIX = b"users", b"user:000000100", b"user:000000300", b"user:0000001"
+NS, START, END, PREFIX = b"users", b"user:000000100", b"user:000003000", b"user:00000"
 KEY, PAGE, CURSOR = b"user:000000002", 25, b"user:000000120"
 WINDOW, NOW = 86_400, 1_748_219_306_851_534_107
 TEXT_QUERY, TYPO_QUERY = "segment compaction segment vector", "segmnt vektor"
+TYPO_WORDS = ["segment", "vector", "cache", "compaction", "index", "query", "the", "one", "key"]
 AS_OF = 10_000
 #: Rows of the log that count as the hot and the cold tier.
 HOT, COLD = "seg_id is null or seg_id % 2 = 0", "seg_id % 2 = 1"
@@ -134,7 +135,7 @@ def queries() -> dict[str, Query]:
         "bm25_single_doc": lambda s, d: fulltext.score_document(_docs(s, d), TEXT_QUERY, _docs(s, d).where(F.lower("text").rlike(r"\bsegment\b")).agg(F.min("doc_id")).first()[0]),
         "token_places": lambda s, d: fulltext.token_positions(_docs(s, d)),
         "bm25_batch": lambda s, d: fulltext.search_many(fulltext.postings(_docs(s, d)), fulltext.documents_stats(_docs(s, d)), t(s, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5),
-        "typo_candidates": lambda s, d: fulltext.typo_candidates(fulltext.postings(_docs(s, d)), ["segment", "vector", "cache"]),
+        "typo_candidates": lambda s, d: fulltext.typo_candidates(fulltext.postings(_docs(s, d)), TYPO_WORDS),
         "snippets": lambda s, d: fulltext.snippets(_docs(s, d), "compaction", 20),
         # replicas, manifest, tiers
         "manifest_live": lambda s, d: _hexed(_live(s, d), "segment_id", "segment_hash", "min_key", "max_key", "min_lsn", "max_lsn", "record_count", "compressed_bytes", "cohort_bucket", "death_time"),
@@ -334,7 +335,7 @@ FROM post p JOIN wanted w ON p.term = w.term JOIN df ON p.term = df.term, stats
         "bm25_after_delete": _bm25([("segment", 2), ("compaction", 1), ("vector", 1)], docs="documents WHERE doc_id % 3 <> 0"),
         "bm25_single_doc": _bm25([("segment", 2), ("compaction", 1), ("vector", 1)], limit=None, allowed="doc_id = (SELECT min(doc_id) FROM documents WHERE regexp_matches(lower(text), '\\bsegment\\b'))"),
         "typo_candidates": f"""WITH docs AS (SELECT * FROM documents), {_TOKENS}, voc AS (SELECT DISTINCT term FROM post)
-SELECT q AS query_term, term FROM voc, (SELECT unnest(['segment', 'vector', 'cache']) AS q) WHERE abs(length(term) - length(q)) <= 1 AND regexp_full_match(term, '[ -~]+') AND levenshtein(term, q) = 1""",
+SELECT q AS query_term, term FROM voc, (SELECT unnest({TYPO_WORDS}) AS q) WHERE abs(length(term) - length(q)) <= 1 AND regexp_full_match(term, '[ -~]+') AND levenshtein(term, q) = 1""",
         "manifest_live": f"WITH {_LIVE_SEGMENTS} SELECT segment_id, segment_hash, {_hx('min_key', 'max_key')}, min_lsn, max_lsn, record_count, compressed_bytes, cohort_bucket, death_time FROM live",
         "missing_segments": f"WITH {_LIVE_SEGMENTS} SELECT segment_id, min_lsn, max_lsn FROM peer_segments p WHERE NOT EXISTS (SELECT 1 FROM live l WHERE {_HASH.format(c='l.segment_hash')} = {_HASH.format(c='p.segment_hash')})",
         "import_lww": f"""WITH {_LOG}, both_ AS (SELECT *, true AS loc FROM log WHERE lsn % 3 <> 0 UNION ALL SELECT *, false FROM log WHERE lsn % 3 <> 1)
