@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_leaked_items": lambda s, d: contamination.leaked_items(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_mix": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_mix_report": lambda s, d: mixing.mix_report(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p9_mix_held": lambda s, d: mixing.mix_held(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p10_found": lambda s, d: reading.demanding_documents(t(s, d, "documents")),
         "p10_measures": lambda s, d: _rounded(reading.text_measures(t(s, d, "documents")).drop("vocabulary")),
         "p10_reading_levels": lambda s, d: reading.reading_levels(t(s, d, "documents")),
@@ -111,6 +112,9 @@ near AS (SELECT a.vector_id AS i, b.vector_id AS j, list_cosine_similarity(a.v,
 best AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS rn FROM near)
 SELECT DISTINCT least(i, j) AS vector_id_a, greatest(i, j) AS vector_id_b FROM best WHERE rn <= 10 AND s >= 0.9""",
         "p8_found": f"WITH d AS ({_grams_sql('documents', 'doc_id')}), e AS ({_grams_sql('eval_items', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (gram)",
+        "p9_mix_held": """WITH wanted AS (SELECT replace(lower(trim(source_name)), '_', '-') AS source_name, sum(coalesce(target_share, 0)) AS share, max(coalesce(max_repeats, 1)) AS most FROM mix_targets WHERE source_name IS NOT NULL GROUP BY 1),
+held AS (SELECT DISTINCT replace(lower(trim(source)), '_', '-') AS source_name FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND text <> '')
+SELECT source_name, share > 0 AND most > 0 AND source_name IN (SELECT source_name FROM held) AS reachable, true AS capped, true AS near FROM wanted""",
         "p10_found": f"WITH {_MEASURED} SELECT doc_id FROM graded WHERE words >= 40 AND grade >= 16",
         "p10_measures": f"WITH {_MEASURED} SELECT doc_id, letters, words, sentences, round(grade, 6) + 0.0 AS grade FROM graded",
         "p7_found": f"""WITH {_CURRENT}
@@ -119,6 +123,15 @@ SELECT ns, term FROM spread LEFT JOIN sizes USING (ns) WHERE gf < 3 OR df * 100
 SELECT ns, CAST(1 AS INTEGER) AS n, term, gf AS total_tf, df, total_docs,
        CASE WHEN gf < 3 THEN 'too_rare' WHEN df * 100 > total_docs * 30 THEN 'too_common' END AS mark
 FROM spread LEFT JOIN sizes USING (ns)""",
+        "p7_repeated": f"""WITH {_CURRENT},
+places AS (SELECT ns, doc_id, lower(trim(term)) AS t1, unnest(positions) AS pos FROM once),
+seq AS (SELECT ns, doc_id, list(t1 ORDER BY pos, t1) AS w FROM places GROUP BY ns, doc_id),
+starts AS (SELECT ns, doc_id, w, unnest(generate_series(1, len(w))) AS i FROM seq),
+spans AS (SELECT ns, doc_id, w, i, unnest(generate_series(i, len(w))) AS j FROM starts),
+grams AS (SELECT ns, doc_id, j - i + 1 AS n, array_to_string(w[i:j], chr(31)) AS gram, array_to_string(w[i:j - 1], chr(31)) AS head FROM spans),
+counted AS (SELECT ns, n, gram, any_value(head) AS head, count(*) AS total_tf, count(DISTINCT doc_id) AS df FROM grams GROUP BY ns, n, gram HAVING count(*) > 1),
+longer AS (SELECT ns, n - 1 AS n, head AS gram, max(total_tf) AS most FROM counted GROUP BY 1, 2, 3)
+SELECT ns, CAST(n AS INTEGER) AS n, gram, total_tf, df FROM counted LEFT JOIN longer USING (ns, n, gram) WHERE most IS NULL OR most < total_tf""",
         "p7_ngrams": f"""WITH {_CURRENT},
 places AS (SELECT ns, doc_id, lower(trim(term)) AS t1, unnest(positions) AS pos FROM once),
 seq AS (SELECT ns, doc_id, t1, lead(t1, 1) OVER w AS t2, lead(t1, 2) OVER w AS t3 FROM places WINDOW w AS (PARTITION BY ns, doc_id ORDER BY pos, t1)),

@@ -199,3 +199,14 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | Non
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("uses", F.lit(0)).alias("uses"),
         F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats", (F.col("effective_share") > 0).alias("reachable"),
     )
+
+
+def mix_held(documents: DataFrame, targets: DataFrame, slack: float = 10.0, **options) -> DataFrame:
+    """What must hold of a mix, one row a target: ``reachable``, ``capped`` (no record used too often) and ``near``.
+
+    ``near``: the share reached is within ``slack`` average records of the share due.
+    """
+    report = mix_report(documents, targets, **options)
+    uses = F.sum("uses").over(Window.partitionBy(F.lit(1)))  # one row a target
+    off = F.abs(F.coalesce("reached_share", F.lit(0.0)) - F.col("effective_share"))
+    return report.withColumn("_uses", uses).select("source_name", "reachable", (F.col("most_uses") <= F.greatest("max_repeats", F.lit(0))).alias("capped"), (off * F.col("_uses") <= slack).alias("near"))

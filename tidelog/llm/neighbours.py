@@ -414,7 +414,7 @@ def _search_all(nodes: DataFrame, k: int, least: float | None, block_rows: int)
     found = "ns string, dims int, vector_id bigint, neighbour bigint, similarity double"
     search = _search_pairs(k, quantile)
     keys = ["ns", "dims", "_a", "_b"]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(8 << t.depth for t in trees.values()))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(min((1 << t.depth) * ((1 << t.depth) + 1) // 2, 8 << t.depth) for t in trees.values()))
     limits: dict = {}
     if trees and least is None:
         alone = placed.repartition(tasks, "ns", "dims", "_block").withColumn("_a", F.col("_block")).withColumn("_b", F.col("_block"))
