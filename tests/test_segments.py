@@ -71,3 +71,35 @@ def test_key_encoding(spark):
     assert bytes(df.first()["e"]) == b"\x00\x05usersalice"
     ns, key = decode_key(F.col("e"))
     assert df.where((ns == F.col("ns")) & (key == F.col("key"))).count() == 2
+
+
+def test_key_range_tree(spark):
+    import hashlib
+
+    schema = "segment_id bigint, min_key binary, merkle_root string, bucket string"
+    key = lambda k: (1).to_bytes(2, "big") + b"n" + k
+    rows = [(9_000, key(b"\x1f"), "0xAA", "clash"), (2, key(b"\x10"), "bb", "clash"), (3, key(b""), "cc", None), (4, None, None, None), (5, key(b"\xff"), "dd", None)]
+    tree = segments.merkle_buckets(spark.createDataFrame(rows, schema))
+    sha = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    want = {b: "0" * 64 for b in range(16)} | {0: sha(sha("cc", "")), 1: sha(sha("bb"), sha("aa")), 15: sha(sha("dd"))}
+    assert {r["bucket"]: r["root"] for r in tree.collect()} == want
+    assert segments.merkle_tree_root(tree).first()["root"] == sha(*[want[b] for b in range(16)])
+    other = segments.merkle_buckets(spark.createDataFrame(rows[1:], schema))
+    assert [r[0] for r in segments.differing_buckets(tree, other).collect()] == [1]
+    assert segments.differing_buckets(tree, tree).count() == 0
+    assert {r["root"] for r in segments.merkle_buckets(spark.createDataFrame([], schema)).collect()} == {"0" * 64}
+
+
+def test_roots_of_segments_stream_over_batches(spark):
+    import hashlib
+
+    rows = [(b"n", b"k%05d" % (i % 9_000), i, i % 2 or None) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "ns binary, key binary, lsn bigint, seg_id bigint").withColumn("h", F.lit("clash"))
+    keys = {hashlib.sha256((1).to_bytes(2, "big") + b"n" + k).hexdigest() for _, k, _, s in rows if s}
+    assert [tuple(r) for r in segments.segment_roots(df).collect()] == [(1, hashlib.sha256("".join(sorted(keys)).encode()).hexdigest())]
+    assert segments.segment_roots(df.limit(0)).count() == 0
+
+
+def test_registered_segments_of_unknown_hash_all_stay(spark):
+    df = spark.createDataFrame([(1, "0xAB"), (2, "ab "), (3, None), (4, None)], "segment_id bigint, segment_hash string")
+    assert sorted(r[0] for r in segments.register_archived(df).select("segment_id").collect()) == [1, 3, 4]
