@@ -26,7 +26,7 @@ from tidelog.session import drop_path, scratch
 #: Rows that are resolved at once, and fewest batches.
 BATCH_ROWS, LEAST_BATCHES = 2_000_000_000, 4
 #: Quantiles of the LSNs that batch borders are picked from.
-QUANTILES = 256
+QUANTILES = 64
 
 
 def resolve_newest_first(
@@ -51,7 +51,7 @@ def resolve_newest_first(
     narrow = changes.where(F.col(lsn).isNotNull()).where(" and ".join(f"`{k}` is not null" for k in keys))
     cells = max(QUANTILES, 4 * (batches or 1))
     shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    count, low, marks = narrow.agg(F.count("*"), F.min(lsn), F.percentile_approx(lsn, shares, F.lit(100 * cells))).first()
+    count, low, marks = narrow.agg(F.count("*"), F.min(lsn), F.percentile_approx(lsn, shares, F.lit(16 * cells))).first()
     columns = [*keys, lsn, *payload]
     if low is None:
         empty = narrow.select(*columns).limit(0)
