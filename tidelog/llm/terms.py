@@ -29,17 +29,17 @@ def current_rows(postings: DataFrame, *columns: Column | str) -> DataFrame:
     """Distinct rows of each record's latest indexing: ``ns``, ``doc_id`` and ``columns``.
 
     The latest LSN is found by an aggregate that is reduced on the map side, not
-    by a window over the record, and joined back.  Whether rows are identical is
-    told by 128 bits over all of their columns, so that only ``columns`` travel.
+    by a window over the record, and joined back.  Whether rows of one record with
+    the same ``columns`` are identical is told by 64 bits over all of their columns,
+    so that only ``columns`` travel.
     """
     rows = postings.where("ns is not null and doc_id is not null and term is not null").select(*[c for c in POSTING if c in postings.columns])
     rows = rows.withColumn("indexed_lsn", F.coalesce("indexed_lsn", F.lit(-1)))
     told = [F.col(c) for c in rows.columns if c not in ("ns", "doc_id", "indexed_lsn")]
     nulls = sum((F.when(c.isNull(), 1 << i).otherwise(0) for i, c in enumerate(told)), F.lit(0))
-    hashes = F.xxhash64(nulls, *told).alias("_h1"), F.xxhash64(F.lit(1), nulls, *told).alias("_h2")
     latest = rows.groupBy("ns", "doc_id").agg(F.max("indexed_lsn").alias("indexed_lsn"))
-    marked = rows.select("ns", "doc_id", "indexed_lsn", *columns, *hashes)
-    return marked.join(latest, ["ns", "doc_id", "indexed_lsn"]).drop("indexed_lsn").distinct().drop("_h1", "_h2")
+    marked = rows.select("ns", "doc_id", "indexed_lsn", *columns, F.xxhash64(nulls, *told).alias("_told"))
+    return marked.join(latest, ["ns", "doc_id", "indexed_lsn"]).drop("indexed_lsn").distinct().drop("_told")
 
 
 def _spelling() -> Column:
@@ -194,12 +194,14 @@ def ngram_frequencies(postings: DataFrame, max_n: int = 1) -> DataFrame:
     """
     depth = max(2, max_n)
     terms = [f"t{k}" for k in range(1, depth + 1)]
-    rows = current_rows(postings, _spelling().alias("t1"), _frequency().alias("_tf"), F.coalesce("positions", F.array().cast("array<int>")).alias("_at"))
-    order = Window.partitionBy("ns", "doc_id").orderBy("_pos", "t1")
-    places = rows.select("ns", "doc_id", "t1", F.explode("_at").alias("_pos"))
-    suffixes = places.select("ns", "doc_id", "t1", *[F.lead("t1", k - 1).over(order).alias(t) for k, t in enumerate(terms[1:], 2)], F.lit(1).cast("bigint").alias("occ"))
-    beyond = rows.where("_tf <> size(_at) or size(_at) = 0").select("ns", "doc_id", "t1", *[F.lit(None).cast("string").alias(t) for t in terms[1:]], (F.col("_tf") - F.size("_at")).alias("occ"))
-    counted = _prefix_counts(suffixes.unionByName(beyond), ["ns"], depth).where(F.col("k") <= max_n)
+    rows = current_rows(postings, _spelling().alias("t1"), _frequency().alias("_tf"), F.coalesce(F.array_compact("positions"), F.array().cast("array<int>")).alias("_at"))
+    # a last place without position carries what the frequency says beyond the positions
+    beyond = F.when((F.col("_tf") != F.size("_at")) | (F.size("_at") == 0), F.array(F.lit(None).cast("int"))).otherwise(F.array().cast("array<int>"))
+    places = rows.select("ns", "doc_id", "t1", (F.col("_tf") - F.size("_at")).alias("_more"), F.explode(F.concat("_at", beyond)).alias("_pos"))
+    order = Window.partitionBy("ns", "doc_id").orderBy(F.asc_nulls_last("_pos"), "t1")
+    following = [F.when(F.lead("_pos", k).over(order).isNotNull(), F.lead("t1", k).over(order)).alias(t) for k, t in enumerate(terms[1:], 1)]
+    occ = F.when(F.col("_pos").isNotNull(), F.lit(1).cast("bigint")).otherwise(F.col("_more")).alias("occ")
+    counted = _prefix_counts(places.select("ns", "doc_id", "t1", *following, occ), ["ns"], depth).where(F.col("k") <= max_n)
     return counted.select("ns", F.col("k").alias("n"), F.array_join("gram", " ").alias("term"), "total_tf", "df")
 
 
