@@ -183,3 +183,24 @@ def test_levels(spark):
     assert np.corrcoef(held["grade"], held["difficulty"])[0, 1] > 0.8
     assert R.reading_levels(docs.limit(0)).count() == 0
     assert R.reading_levels(docs.where("doc_id >= 500 and doc_id < 503")).where("difficulty is null").count() == 3
+
+
+def test_propagation_runs_only_where_it_decides(spark, monkeypatch):
+    hard, easy = "institutionalization internationalization " * 30, "a cat sat. " * 30
+    rows = [(1, hard), (1, hard), (None, hard), (2, easy), (3, "institutionalization"), (4, "cat"), (5, None), (6, ""), (7, "12 34."), (8, "```\n" + hard)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    levels = R.reading_levels(docs)
+    got = {r["doc_id"]: r for r in levels.collect()}
+    assert got[3]["difficulty"] > 16 > got[4]["difficulty"] and {got[3]["basis"], got[4]["basis"]} == {"graph"}
+    bands = {(r["band"], r["basis"]): r["documents"] for r in R.level_profile(docs).collect()}
+    assert all(bands[got[i]["difficulty"] // 4 * 4, "graph"] == 1 for i in (3, 4))
+    clamped = tuples(levels.where("basis = 'formula' and difficulty >= 16"), "doc_id")
+    assert clamped == [(1,), (1,), (None,)]
+    labels = []
+    for name in ("materialise", "scratch"):
+        real = getattr(R, name)
+        monkeypatch.setattr(R, name, lambda x, label, real=real: (labels.append(label), real(x, label))[1])
+    assert tuples(R.demanding_documents(docs)) == clamped
+    assert not {"edges", "words", "levels"} & set(labels)
+    assert tuples(R.demanding_documents(docs, least_words=1)) == [(1,), (1,), (3,), (None,)]
+    assert R.demanding_documents(docs.limit(0)).count() == 0
